@@ -74,16 +74,18 @@ def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE) -> Iterator[dic
             yield {name: part.column(i).to_pylist() for i, name in enumerate(part.schema.names)}
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster names its shared folder in spark.checkpoint.dir; only without one is a local folder used."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; only where none is named, as in tests, a local one."""
     sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="marlwick-checkpoint-"))
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="marlwick-"))
+    return named or str(sc.getCheckpointDir())
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Computes df once, into the shared checkpoint folder, which the loss of an executor leaves whole."""
-    ensure_checkpoint_dir(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

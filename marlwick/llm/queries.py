@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, wfst_tokenizer
+from . import decontaminate, jaccard_join, line_quality, secret_scan, wfst_tokenizer
 from .common import documents
 
 
@@ -14,16 +14,24 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(documents(spark, sf_dir))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_scan(documents(spark, sf_dir))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op9_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality.line_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wfst_tokenizer.encode_decode(documents(spark, sf_dir), wfst_tokenizer.default_model(spark))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard_join, op8_benchmark_decontamination, op10_sentencepiece)
+    f.__name__: f for f in (op1_ngram_jaccard_join, op6_secret_scan, op8_benchmark_decontamination, op9_line_quality, op10_sentencepiece)
 }
 
 #: The Jaccard join by brute force over n-gram lists.
