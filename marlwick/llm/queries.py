@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, line_quality, secret_scan, wfst_tokenizer
+from . import decontaminate, jaccard_join, line_quality, secret_scan, suffix_dedup, wfst_tokenizer
 from .common import documents
 
 
@@ -14,6 +14,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(documents(spark, sf_dir))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(documents(spark, sf_dir))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(documents(spark, sf_dir))
 
@@ -31,7 +35,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard_join, op6_secret_scan, op8_benchmark_decontamination, op9_line_quality, op10_sentencepiece)
+    f.__name__: f for f in (op1_ngram_jaccard_join, op5_suffix_array_dedup, op6_secret_scan, op8_benchmark_decontamination, op9_line_quality, op10_sentencepiece)
 }
 
 #: The Jaccard join by brute force over n-gram lists.
@@ -56,4 +60,25 @@ SELECT first AS doc_id_a, doc_id AS doc_id_b, CAST(1 AS DOUBLE) AS jaccard FROM
 UNION ALL SELECT x, y, CAST(j AS DOUBLE) FROM across
 """
 
-ORACLE: dict[str, str] = {"op1_ngram_jaccard_join": OP1_SQL}
+#: Repeated passages by brute force over all windows of 50 words.
+OP5_SQL = """
+WITH w AS (
+  SELECT doc_id, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents
+  WHERE text IS NOT NULL AND doc_id IS NOT NULL
+), windows AS (
+  SELECT doc_id, s, array_to_string(w[s + 1 : s + 50], ' ') AS passage
+  FROM (SELECT doc_id, w, unnest(range(0, len(w) - 49)) AS s FROM w WHERE len(w) >= 50)
+), twice AS (
+  SELECT passage, min(doc_id) AS first FROM windows GROUP BY passage HAVING min(doc_id) <> max(doc_id)
+), hits AS (
+  SELECT DISTINCT doc_id, s, first FROM windows JOIN twice USING (passage)
+), marked AS (
+  SELECT *, CASE WHEN s > 50 + max(s) OVER (PARTITION BY doc_id ORDER BY s, first ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS fresh FROM hits
+), islands AS (
+  SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s, first ROWS UNBOUNDED PRECEDING) AS island FROM marked
+)
+SELECT doc_id, CAST(min(s) AS INTEGER) AS start_word, CAST(max(s) + 50 AS INTEGER) AS end_word, min(first) AS first_doc_id
+FROM islands GROUP BY doc_id, island
+"""
+
+ORACLE: dict[str, str] = {"op1_ngram_jaccard_join": OP1_SQL, "op5_suffix_array_dedup": OP5_SQL}
