@@ -5,7 +5,7 @@ fallback for characters that no piece covers.  Composed with an input, a state o
 arc that adds a piece weighs one in the tropical semiring (min, +), or infinity where the two pieces could not stand side by
 side in the output of the vocabulary's merges.  A model of ranked merges admits exactly one path of finite weight, so the
 shortest path is the model's own segmentation; a model of unigram scores has the negated scores as weights and no forbidden
-neighbours.  Decoding reads the transducer from its other side.
+neighbours.  All finite arcs of ranked merges weigh the same, nothing, so a depth-first search finds the path.  Decoding reads the transducer from its other side.
 
 No piece reaches across the start of a word (a space after something else), so shortest paths are composed of the paths of
 words, which each worker remembers.
@@ -18,11 +18,11 @@ and other columns change nothing.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import struct
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -100,9 +100,25 @@ class Transducer:
     def __init__(self, path: str = MODEL):
         self.v = Vocabulary(path)
         self.starts = re.compile(f"{SPACE}*[^{SPACE}]*")
-        self.beside = Memo(lambda pair: self._merged(pair[0] + pair[1]) == list(pair), 1_000_000)
+        # rank of the merge that makes a piece; pieces that the merges can't make are in no path
+        self.rank = {p: -self.v.scores[i] for p, i in self.v.ids.items() if len(p) > 1}
+        self.halves = {} if self.v.unigram else {p: h for p in self.rank if (h := self._last_merge(p))}
+        self.beside = Memo(lambda pair: self._stands(*pair), 500_000)
         self.runs: dict[int, list[int]] = {}
-        self.words = Memo(lambda w: self.chunk(SPACE + w), 300_000)
+        # arcs out of a place: the longest piece by its first characters, and from each piece the next shorter one
+        self.reach: dict[str, int] = {}
+        usable = self.v.ids if self.v.unigram else {p for p in self.v.ids if len(p) == 1 or p in self.halves}
+        self.usable = usable
+        for p in usable:
+            self.reach[p[:2]] = max(len(p), self.reach.get(p[:2], 0))
+        self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in usable), p[:1] if len(p) > 1 else "") for p in usable}
+        self.unknown = min((s for s, k in zip(self.v.scores, self.v.kinds) if k == NORMAL), default=0.0) - 10
+        self.inner_breaks = not any("\n" in p for p in self.v.ids)
+        # a word's ids, packed, with and without the space before it
+        self.words, self.bare = Memo(lambda w: self._packed(SPACE + w), 500_000), Memo(self._packed, 200_000)
+
+    def _packed(self, text: str) -> bytes:
+        return np.array(self.chunk(text), np.int32).tobytes()
 
     def _merged(self, text: str) -> list[str]:
         """The symbols that the ranked merges leave: best score first, leftmost of equals."""
@@ -117,37 +133,73 @@ class Transducer:
                 return s
             s[at : at + 2] = [s[at] + s[at + 1]]
 
+    def _last_merge(self, piece: str) -> tuple[str, str] | None:
+        """The two symbols whose merge makes the piece, if the ranked merges make it."""
+        s, rank = list(piece), self.rank
+        while len(s) > 2:
+            r, at = min(((rank.get(s[i] + s[i + 1], float("inf")), i) for i in range(len(s) - 1)))
+            if r == float("inf"):
+                return None
+            s[at : at + 2] = [s[at] + s[at + 1]]
+        return (s[0], s[1]) if len(s) == 2 else None
+
+    def _stands(self, a: str, b: str) -> bool:
+        """Whether b can follow a: undoing their merges, latest first, no merge across the border would have come sooner."""
+        rank, halves, limit = self.rank, self.halves, float("inf")
+        ra, rb = rank.get(a, -1.0), rank.get(b, -1.0)
+        while True:
+            if rank.get(a + b, limit) < limit:
+                return False
+            if ra > rb:
+                limit, a = ra, halves[a][1]
+                ra = rank.get(a, -1.0)
+            elif rb >= 0:
+                limit, b = rb + 0.5, halves[b][0]  # of equal ranks, the one further left comes first
+                rb = rank.get(b, -1.0)
+            else:
+                return True
+
     def _ids(self, symbol: str) -> list[int]:
         i = self.v.ids.get(symbol)
         return [i] if i is not None else [self.v.byte_ids[b] for b in symbol.encode("utf-8", "replace")]
 
     def _ranked(self, text: str) -> list[str]:
-        """The one finite path through the lattice of ranked merges: back[i] is the piece that ends at i."""
-        ids, beside, n = self.v.ids, self.beside, len(text)
-        back: list[str] = [""] * (n + 1)
-        for i in range(1, n + 1):
-            for j in range(max(0, i - self.v.longest), i):
-                p = text[j:i]
-                # a single character always has an arc, by its piece or by byte fallback
-                if (p in ids or j == i - 1) and (beside[back[j], p] if j else (len(p) == 1 or self._merged(p) == [p])):
-                    back[i] = p
-                    break
-        out = []
-        while n:
-            out.append(back[n])
-            n -= len(back[n])
-        return out[::-1]
+        """The path of finite weight: depth first, longest arc first, leaving places from which no path went on.
+
+        The arcs of a place are the pieces that start there, and the character that byte fallback takes."""
+        out: list[str] = []
+        n, at, last, dead = len(text), 0, "", set()
+        usable, reach, beside, shorter = self.usable, self.reach, self.beside, self.shorter
+        while at < n:
+            end = at + reach.get(text[at : at + 2], 1)
+            arc = text[at:end]
+            while len(arc) > 1 and arc not in usable:
+                arc = arc[:-1]
+            while True:
+                if arc:
+                    if at + len(arc) not in dead and (not last or beside[last, arc]):
+                        out.append(arc)
+                        at, last = at + len(arc), arc
+                        break
+                    arc = shorter.get(arc, "")
+                else:
+                    if not out:
+                        raise ValueError(f"no path for {text!r}")
+                    dead.add(at)
+                    arc = out.pop()
+                    at, last = at - len(arc), out[-1] if out else ""
+                    arc = shorter.get(arc, "")
+        return out
 
     def _scored(self, text: str) -> list[str]:
         """Shortest path with the negated unigram scores as weights; of equal paths, the one whose last piece starts first."""
         ids, scores, n = self.v.ids, self.v.scores, len(text)
-        unknown = min(s for s, k in zip(scores, self.v.kinds) if k == NORMAL) - 10
         cost, back = [0.0] + [float("inf")] * n, [0] * (n + 1)
         for i in range(1, n + 1):
             for j in range(max(0, i - self.v.longest), i):
                 p = ids.get(text[j:i])
                 if p is not None or j == i - 1:
-                    c = cost[j] - (scores[p] if p is not None else unknown)
+                    c = cost[j] - (scores[p] if p is not None else self.unknown)
                     if c < cost[i]:
                         cost[i], back[i] = c, j
         out = []
@@ -162,50 +214,73 @@ class Transducer:
         return self.runs[m]
 
     def chunk(self, text: str) -> list[int]:
-        """Ids of a run of meta symbols and what follows it."""
+        """Ids of a run of meta symbols and the word that follows it."""
         if self.v.unigram:
             return [i for s in self._scored(text) for i in self._ids(s)]
         word = text.lstrip(SPACE)
         m = len(text) - len(word)
-        lines = (SPACE * (m > 0) + word).split("\n") if "\n" not in self.v.ids else [SPACE * (m > 0) + word]
-        out: list[int] = []
+        symbols, out = self._ranked(SPACE * (m > 0) + word), []
+        if m > 1:
+            # spaces before the last merge among themselves, and with the last if the word left it alone
+            alone = symbols[:1] == [SPACE]
+            out += self._run(m if alone else m - 1)
+            symbols = symbols[alone:]
+        try:
+            return out + [self.v.ids[s] for s in symbols]
+        except KeyError:
+            return out + [i for s in symbols for i in self._ids(s)]
+
+    def _line(self, text: str, space: bool) -> list[bytes]:
+        parts = text.split(" ")
+        if "" in parts or SPACE in text:
+            return [self._packed(x) for x in self.starts.findall(SPACE * space + text.replace(" ", SPACE)) if x]
+        out = list(map(self.words.__getitem__, parts))
+        if not space:
+            out[0] = self.bare[parts[0]]
+        return out
+
+    def encoded(self, text: str) -> bytes:
+        """The ids as packed 32-bit integers."""
+        if not text:
+            return b""
+        if "\n" not in text or not self.inner_breaks:
+            return b"".join(self._line(text, self.v.prefix))
+        lines, feed, out = text.split("\n"), self.bare["\n"], []
         for k, line in enumerate(lines):
-            symbols = self._ranked(line)
-            if k == 0 and m > 1:
-                # spaces before the last merge among themselves, and with the last if the word left it alone
-                alone = symbols[:1] == [SPACE]
-                out += self._run(m if alone else m - 1)
-                symbols = symbols[alone:]
             if k:
-                out += self._ids("\n")
-            for s in symbols:
-                out += self._ids(s)
-        return out
+                out.append(feed)
+            if line or (k == 0 and self.v.prefix):
+                out += self._line(line, self.v.prefix and k == 0)
+        return b"".join(out)
 
     def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        parts = text.split(" ")
-        if "" in parts or SPACE in text or not self.v.prefix:
-            whole = SPACE * self.v.prefix + text.replace(" ", SPACE)
-            return list(chain.from_iterable(self.chunk(x) for x in self.starts.findall(whole) if x))
-        return list(chain.from_iterable(map(self.words.__getitem__, parts)))
+        return np.frombuffer(self.encoded(text), np.int32).tolist()
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.v.outputs.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if self.v.prefix and text[:1] == " " else text
 
 
+@functools.lru_cache(1)
+def transducer(path: str) -> Transducer:
+    """One for a worker process, with what it remembers of words."""
+    return Transducer(path)
+
+
 def encode_decode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """Rows (doc_id, ids, n_tokens, decoded, lossless): each text's ids, and the text that they decode to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = Transducer(model)
+        t = transducer(model)
         for part in slices(batches, 256):
-            ids = [None if x is None else np.array(t.encode(x), np.int32) for x in part["text"]]
-            back = [None if x is None else t.decode(x.tolist()) for x in ids]
+            packed = [None if x is None else t.encoded(x) for x in part["text"]]
+            count = [None if x is None else len(x) // 4 for x in packed]
+            back = [None if x is None else t.decode(np.frombuffer(x, np.int32).tolist()) for x in packed]
+            flat = pa.array(np.frombuffer(b"".join(x for x in packed if x), np.int32))
+            ends = np.cumsum([0] + [n or 0 for n in count])
+            ids = pa.ListArray.from_arrays(pa.array([None if n is None else int(e) for n, e in zip(count, ends)] + [int(ends[-1])], pa.int32()), flat)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(part["doc_id"], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([None if x is None else len(x) for x in ids], pa.int32()), pa.array(back, pa.string()), pa.array([None if x is None else x == y for x, y in zip(part["text"], back)], pa.bool_())],
+                [pa.array(part["doc_id"], pa.int64()), ids, pa.array(count, pa.int32()), pa.array(back, pa.string()), pa.array([None if x is None else x == y for x, y in zip(part["text"], back)], pa.bool_())],
                 ["doc_id", "ids", "n_tokens", "decoded", "lossless"],
             )
 
