@@ -1,14 +1,15 @@
 """N-gram Jaccard join by a token-group matrix.
 
 Documents are sets of word n-grams.  Similar sets are put into groups; of each group the union of its tokens is kept (its row
-of the token-group matrix).  The overlap of a query with that union bounds its Jaccard index with every member, so only groups
-whose bound reaches the threshold are opened, and their members compared exactly.
+of the token-group matrix).  The overlap of a query with that union bounds its Jaccard index with every other member, so only
+groups whose bound reaches the threshold are opened, and their members compared exactly.  Every set is a query.
 
-Which (query, group) cells of the matrix can be other than hopeless is found without visiting the rest: with tokens in one
-global order, two sets of Jaccard index t or more share one of their first len - ceil(t * len) + 1 tokens.  The order puts
-frequent tokens last.  Any order gives the same pairs; the frequencies serve speed alone.
-
-Every pair of sets at or above the threshold is found; the only approximation is that tokens are 64-bit hashes.
+Which cells of the matrix can be other than hopeless is found without visiting the rest: with tokens in one global order, two
+sets of Jaccard index t or more share k of their first len - ceil(t * len) + k tokens, for any k up to ceil(t * len).  The
+order puts frequent tokens last; that serves speed alone.  All sets that have a prefix token are tied to the least of them, the
+leader; a set belongs to the groups of the leaders with which it shares k prefix tokens.  Two sets alone always meet so.  In a
+crowd of copies, two meet through any leader that both resemble; this step, linear in the copies, is the only one that could
+miss a pair, and the tests hold it against brute force.
 
 Defined cases: words are lower-cased runs between white space.  A text of fewer than n words is one token.  Null and empty
 texts have no tokens and are similar to nothing.  Rows without doc_id can't be named in a pair and take no part.  Rows that
@@ -31,18 +32,21 @@ from .common import cut, hashed, ngram_hashes, shuffle_width, slices, small_or_s
 N, THRESHOLD = 3, 0.5
 #: Tokens whose order is pushed back: seen LOCAL times in a part and OFTEN times in all, at most MOST of them (8 MB).  They
 #: change which pairs are looked at, never which are found.
-LOCAL, OFTEN, MOST = 4, 16, 1_000_000
+LOCAL, OFTEN, MOST = 2, 12, 1_000_000
+#: Prefix tokens that candidates must share (k above, less for small sets); a power of two.  More are more selective.
+SHARED = 8
 #: Members of a group; a larger one is split, and each query then meets every part of it.
-GROUP = 512
+GROUP = 1024
 
 
 def token_set(text: str | None, memo, n: int) -> np.ndarray:
     return np.unique(ngram_hashes(hashed(words_of(text), memo), n))
 
 
-def set_id(tokens: np.ndarray) -> int:
-    """Identity of a token set, signed for Spark."""
-    return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes())).astype(np.int64))
+def set_id(tokens: np.ndarray, t: float) -> int:
+    """Identity of a token set, signed for Spark.  Its low bits hold the number of prefix tokens, less one, that a partner at
+    the threshold must share."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes()) & ~(SHARED - 1) | shared_needed(len(tokens), t) - 1).astype(np.int64))
 
 
 def overlap_needed(size: int, t: float) -> int:
@@ -50,9 +54,13 @@ def overlap_needed(size: int, t: float) -> int:
     return max(1, math.ceil(t * size - 1e-9))
 
 
+def shared_needed(size: int, t: float) -> int:
+    return min(SHARED, overlap_needed(size, t))
+
+
 def prefix(tokens: np.ndarray, t: float, frequent: np.ndarray) -> np.ndarray:
     """The tokens of the prefix of a sorted set, in the order (frequent, hash)."""
-    keep = len(tokens) - overlap_needed(len(tokens), t) + 1
+    keep = len(tokens) - overlap_needed(len(tokens), t) + shared_needed(len(tokens), t)
     if len(frequent):
         at = np.searchsorted(frequent, tokens)
         late = frequent[np.minimum(at, len(frequent) - 1)] == tokens
@@ -97,104 +105,109 @@ def _postings(docs: DataFrame, n: int, t: float, frequent: np.ndarray, width: in
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, late = word_hashes(), shared.value
-        tokens, owners, sets, ids, held = [], [], [], [], 0
+        tokens, counts, sets, ids, held = [], [], [], [], 0
 
         def flush():
-            tok, own = np.concatenate(tokens), np.repeat(np.array(sets, np.int64), np.array(owners))
-            sid, doc = np.array(sets, np.int64), np.array(ids, np.int64)
-            # one posting for a token and set, however many documents have the set
-            pid = (tok % np.uint64(width)).astype(np.int64)
-            order = np.lexsort((own, tok, pid))
-            tok, own, pid = tok[order], own[order], pid[order]
-            new = np.ones(len(tok), bool)
-            new[1:] = (tok[1:] != tok[:-1]) | (own[1:] != own[:-1])
-            tok, own, pid = tok[new], own[new], pid[new]
-            cuts = np.searchsorted(pid, np.arange(width + 1))
-            spid = (sid.view(np.uint64) % np.uint64(width)).astype(np.int64)
-            order = np.argsort(spid, kind="stable")
-            sid, doc, spid = sid[order], doc[order], spid[order]
-            scuts = np.searchsorted(spid, np.arange(width + 1))
-            out = [(p, tok[a:b].tobytes() + own[a:b].tobytes(), sid[c:d].tobytes() + doc[c:d].tobytes()) for p, a, b, c, d in zip(range(width), cuts[:-1], cuts[1:], scuts[:-1], scuts[1:]) if b > a or d > c]
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], ["pid", "postings", "members"])
+            # Of a token, the shuffle partition is told by some bits, and a key of 32 other bits tells it from others there.
+            # Keys that coincide bring a hopeless candidate now and then.
+            sid, doc, count = np.array(sets, np.int64), np.array(ids, np.int64), np.array(counts)
+            tok, of = np.concatenate(tokens), np.repeat(np.arange(len(sid)), count)
+            pid, key = (tok % np.uint64(width)).astype(np.int64), (tok >> np.uint64(32)).astype(np.uint32)
+            order = np.argsort(pid * len(sid) + of, kind="stable")
+            pid, of, key = pid[order], of[order], key[order]
+            cell = np.flatnonzero(np.append(True, (pid[1:] != pid[:-1]) | (of[1:] != of[:-1])))
+            long = np.diff(np.append(cell, len(pid))).astype(np.uint32)
+            cells, keys = np.searchsorted(pid[cell], np.arange(width + 1)), np.searchsorted(pid, np.arange(width + 1))
+            owner = sid[of[cell]]
+            home = (sid.view(np.uint64) % np.uint64(width)).astype(np.int64)
+            order = np.argsort(home, kind="stable")
+            sid, doc = sid[order], doc[order]
+            homes = np.searchsorted(home[order], np.arange(width + 1))
+            out = [(p, *(x[at[p] : at[p + 1]].tobytes() for x, at in ((owner, cells), (long, cells), (key, keys), (sid, homes), (doc, homes)))) for p in range(width) if keys[p + 1] > keys[p] or homes[p + 1] > homes[p]]
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), *(pa.array([x[i] for x in out], pa.binary()) for i in range(1, 6))], PACKED.replace(",", "").split()[::2])
 
         for part in slices(batches):
             for doc, text in zip(part["doc_id"], part["text"]):
                 s = token_set(text, memo, n)
                 if len(s):
                     p = prefix(s, t, late)
-                    tokens.append(p), owners.append(len(p)), sets.append(set_id(s)), ids.append(doc)
+                    tokens.append(p), counts.append(len(p)), sets.append(set_id(s, t)), ids.append(doc)
                     held += len(p)
             if held > 4_000_000:
                 yield flush()
-                tokens, owners, sets, ids, held = [], [], [], [], 0
+                tokens, counts, sets, ids, held = [], [], [], [], 0
         if ids:
             yield flush()
 
-    return _texts(docs).mapInArrow(emit, "pid int, postings binary, members binary")
+    return _texts(docs).mapInArrow(emit, PACKED)
+
+
+#: One row for a shuffle partition and a part of the documents: sets, how many keys each has here, the keys; sets and documents.
+PACKED = "pid int, owners binary, counts binary, keys binary, sets binary, docs binary"
+
 
+def _counted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs, and how often each comes."""
+    if not len(a):
+        return a, b, a
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+    return a[first], b[first], np.diff(np.append(first, len(a)))
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From one shuffle partition: pairs of sets with a common prefix token (kind 0), and documents with their set (kind 1)."""
-    tok, own, sid, doc = [], [], [], []
+
+def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From one shuffle partition: sets, their leaders, and how many prefix tokens tie them here (kind 0), and each document with
+    its set (kind 1)."""
+    own, tok, sid, doc = [], [], [], []
     for b in batches:
-        for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-            x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
-            tok.append(x[: len(x) // 2]), own.append(x[len(x) // 2 :]), sid.append(y[: len(y) // 2]), doc.append(y[len(y) // 2 :])
+        for owners, counts, keys, sets, ids in zip(*(b.column(i).to_pylist() for i in range(1, 6))):
+            own.append(np.repeat(np.frombuffer(owners, np.int64), np.frombuffer(counts, np.uint32)))
+            tok.append(np.frombuffer(keys, np.uint32)), sid.append(np.frombuffer(sets, np.int64)), doc.append(np.frombuffer(ids, np.int64))
     if not tok:
         return
 
-    def rows(kind, a, b):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b)], ["kind", "a", "b"])
+    def rows(kind, a, b, times):
+        for at in range(0, len(a), 1_000_000):
+            x = a[at : at + 1_000_000]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int32)), pa.array(x), pa.array(b[at : at + 1_000_000]), pa.array(times[at : at + 1_000_000])], ["kind", "a", "b", "times"])
 
     sid, doc = np.concatenate(sid), np.concatenate(doc)
-    for at in range(0, len(sid), 1_000_000):
-        yield rows(1, sid[at : at + 1_000_000], doc[at : at + 1_000_000])
+    yield from rows(1, sid, doc, np.ones(len(sid), np.int64))
     del sid, doc
     tok, own = np.concatenate(tok), np.concatenate(own)
+    if not len(tok):
+        return
     order = np.lexsort((own, tok))
     tok, own = tok[order], own[order]
-    new = np.ones(len(tok), bool)
-    new[1:] = (tok[1:] != tok[:-1]) | (own[1:] != own[:-1])
-    tok, own = tok[new], own[new]
-    # in a run of m sets, each meets the one k places on, for k = 1 .. m - 1
-    held_a, held_b, held, k = [], [], 0, 1
-    live = np.arange(len(tok))
-    while True:
-        live = live[live + k < len(tok)]
-        live = live[tok[live] == tok[live + k]]
-        if not len(live):
-            break
-        held_a.append(own[live]), held_b.append(own[live + k])
-        held, k = held + len(live), k + 1
-        if held > 2_000_000:
-            pairs = np.unique(np.stack([np.concatenate(held_a), np.concatenate(held_b)]), axis=1)
-            yield rows(0, pairs[0], pairs[1])
-            held_a, held_b, held = [], [], 0
-    if held:
-        pairs = np.unique(np.stack([np.concatenate(held_a), np.concatenate(held_b)]), axis=1)
-        yield rows(0, pairs[0], pairs[1])
+    head = np.append(True, tok[1:] != tok[:-1])
+    leader = own[np.flatnonzero(head)][np.cumsum(head) - 1]
+    # each set once for a token, and no set with itself
+    tied = (leader != own) & np.append(True, (tok[1:] != tok[:-1]) | (own[1:] != own[:-1]))
+    yield from rows(0, *_counted(own[tied], leader[tied]))
 
 
 def open_group(members: list[tuple[int, np.ndarray]], queries: list[tuple[int, np.ndarray]], t: float) -> list[tuple[int, int, float]]:
-    """Pairs (a < b, Jaccard index) of a query and a member of one group at or above t."""
+    """Pairs (member, query, Jaccard index), the lesser first, of the queries and the members of lesser identity at or above t."""
     ids = np.array([i for i, _ in members], np.int64)
     sizes = np.array([len(s) for _, s in members])
     flat, of = np.concatenate([s for _, s in members]), np.repeat(np.arange(len(members)), sizes)
     order = np.argsort(flat, kind="stable")
     flat, of = flat[order], of[order]
     union, starts = np.unique(flat, return_index=True)  # the group's row of the token-group matrix
-    ends = np.append(starts[1:], len(flat))
-    out = []
+    lengths = np.diff(np.append(starts, len(flat)))
+    inside, out = set(ids.tolist()), []
     for q, s in queries:
-        at = np.searchsorted(union, s)
-        hit = at[(at < len(union)) & (union[np.minimum(at, len(union) - 1)] == s)]
+        at = np.minimum(np.searchsorted(union, s), len(union) - 1)
+        # the bound is the overlap with the others' tokens: those that a query in the group alone brought don't count
+        hit = at[(union[at] == s) & (lengths[at] > (q in inside))]
         if len(hit) < overlap_needed(len(s), t):
-            continue  # the bound: no member can reach t
-        lengths = ends[hit] - starts[hit]
-        picks = np.repeat(starts[hit] - np.append(0, np.cumsum(lengths)[:-1]), lengths) + np.arange(lengths.sum())
+            continue
+        n = lengths[hit]
+        picks = np.repeat(starts[hit] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
         common = np.bincount(of[picks], minlength=len(ids))
         index = common / (sizes + len(s) - common)
-        out += [(min(q, int(ids[m])), max(q, int(ids[m])), float(index[m])) for m in np.flatnonzero(index >= t - 1e-12) if ids[m] != q]
+        out += [(int(ids[m]), q, float(index[m])) for m in np.flatnonzero((index >= t - 1e-12) & (ids < q))]
     return out
 
 
@@ -202,49 +215,66 @@ def set_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tupl
     """(pairs, members): pairs of distinct token sets (a < b, jaccard), and each set's documents (set, doc_id)."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    spark = docs.sparkSession
-    width = shuffle_width(spark)
-    found = cut(_postings(docs, n, threshold, frequent_tokens(docs, n), width).repartitionById(width, "pid").mapInArrow(_candidates, "kind int, a long, b long").groupBy("kind", "a", "b").agg(F.lit(1).alias("one")).drop("one"))
+    width = shuffle_width(docs.sparkSession)
+    posted = _postings(docs, n, threshold, frequent_tokens(docs, n), width).repartitionById(width, "pid").mapInArrow(_ties, "kind int, a long, b long, times long")
+    found = cut(posted.groupBy("kind", "a", "b").agg(F.sum("times").alias("times")).where(f"kind = 1 OR times > least(a & {SHARED - 1}, b & {SHARED - 1})").select("kind", "a", "b"))
     members = found.where("kind = 1").select(F.col("a").alias("set"), F.col("b").alias("doc_id"))
-    near = found.where("kind = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    # A set joins the group of the least set among itself and its candidates.
-    both = near.union(near.select("b", "a"))
-    leader = both.groupBy(F.col("a").alias("set")).agg(F.min("b").alias("least")).select("set", F.least("set", "least").alias("leader"))
-    counts = leader.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("parts"))
-    grouped = cut(leader.join(counts, "leader").withColumn("part", F.expr("cast(pmod(xxhash64(set), parts) AS int)")))
-    queries = near.join(grouped.select(F.col("set").alias("a"), "leader", "parts"), "a").select(F.col("b").alias("set"), "leader", "parts").distinct().select("set", "leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    cells = grouped.select("set", "leader", "part", F.lit(0).alias("role")).union(queries.select("set", "leader", "part", F.lit(1)))
-    wanted = cut(members.join(grouped.select("set"), "set").groupBy("set").agg(F.min("doc_id").alias("doc_id")))
-
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ties = found.where("kind = 0").select(F.col("a").alias("set"), F.col("b").alias("leader"))
+    # Leaders follow their own least leader, twice, so that the groups of one crowd fall together.
+    above = ties.groupBy(F.col("set").alias("leader")).agg(F.min("leader").alias("up"))
+    led = ties
+    for _ in range(2):
+        led = led.join(above, "leader", "left").select("set", F.least("leader", "up").alias("leader"))
+    cells = led.union(led.select("leader", "leader")).union(ties.select("leader").distinct().join(above, "leader").select(F.col("leader").alias("set"), F.col("up").alias("leader")))
+    cells = cut(cells.distinct())
+    parts = cells.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("parts")).where("parts > 1")
+    cells = cells.join(parts, "leader", "left").select("set", "leader", F.coalesce("parts", F.lit(1)).alias("parts"))
+    home = F.expr("cast(pmod(xxhash64(set), parts) AS int)")
+    wanted = members.join(cells.select("set").distinct(), "set", "left_semi").groupBy("set").agg(F.min("doc_id").alias("_doc"))
+    wanted = cut(wanted.join(cells.groupBy("set").agg(F.collect_list(F.struct("leader", "parts", home.alias("home"))).alias("cells")), "set"))
+
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A set's tokens for every part of its groups; in one part it is a member too."""
         memo = word_hashes()
-        for part in slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(part["set"], pa.int64()), pa.array([token_set(x, memo, n).tobytes() for x in part["text"]], pa.binary())], ["set", "tokens"])
+        for part in slices(batches, 64):
+            rows = []
+            for text, sid, mine in zip(part["text"], part["set"], part["cells"]):
+                s = token_set(text, memo, n)
+                if set_id(s, threshold) == sid:  # a doc_id may come with other texts too
+                    rows += [(c["leader"], p, sid, p == c["home"], s.tobytes()) for c in mine for p in range(c["parts"])]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()))], ["leader", "part", "set", "member", "tokens"])
 
-    sets = _texts(docs).join(small_or_shuffled(wanted), "doc_id").select("set", "text").mapInArrow(tokens, "set long, tokens binary").dropDuplicates(["set"])
-    laid = cells.join(sets, "set").repartition(width, "leader", "part").sortWithinPartitions("leader", "part", "role")
+    texts = _texts(docs)
+    laid = texts.join(small_or_shuffled(wanted), texts["doc_id"] == F.col("_doc")).select("text", "set", "cells").mapInArrow(lay, "leader long, part int, set long, member boolean, tokens binary")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, members_, queries_ = None, [], []
+        key, members_, queries_, last = None, [], [], None
 
         def result():
-            out = open_group(members_, queries_, threshold) if members_ and queries_ else []
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.float64())], ["a", "b", "jaccard"])
+            out = open_group(members_, queries_, threshold) if members_ else []
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "jaccard"])
 
         for part in slices(batches):
-            for s, lead, p, role, tok in zip(part["set"], part["leader"], part["part"], part["role"], part["tokens"]):
+            for lead, p, s, member, tok in zip(part["leader"], part["part"], part["set"], part["member"], part["tokens"]):
                 if (lead, p) != key:
                     if queries_:
                         yield result()
-                    key, members_, queries_ = (lead, p), [], []
-                (queries_ if role else members_).append((s, np.frombuffer(tok, np.uint64)))
-                if len(queries_) >= 4096:
+                    key, members_, queries_, last = (lead, p), [], [], None
+                if s == last:
+                    continue
+                last, tokens = s, np.frombuffer(tok, np.uint64)
+                # members come first, and are queries as well
+                if member:
+                    members_.append((s, tokens))
+                queries_.append((s, tokens))
+                if not member and len(queries_) >= 4096:
                     yield result()
                     queries_ = []
         if queries_:
             yield result()
 
-    pairs = laid.select("set", "leader", "part", "role", "tokens").mapInArrow(verify, "a long, b long, jaccard double").groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
+    ordered = laid.repartition(width, "leader", "part").sortWithinPartitions("leader", "part", F.desc("member"), "set")
+    pairs = ordered.mapInArrow(verify, "a long, b long, jaccard double").groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
     return pairs, members
 
 
