@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+import pyarrow as pa
 
 from ..errors import BindError
 from .text import let, quoted
@@ -91,8 +92,7 @@ def tokens(text: str) -> str:
 
 def vector(text: str) -> str:
     """The text vector of a text: its terms in order, their positions, weight D."""
-    entry = "named_struct('term', t, 'positions', transform(filter(transform(k, (w, i) -> struct(w AS w, i + 1 AS i)), e -> e.w = t), e -> e.i), 'weight', 'D')"
-    return let(tokens(text), "k", f"transform(array_sort(array_distinct(k)), t -> {entry})")
+    return f"mw_text_vector({text})"
 
 
 def _condition(q: tuple, has) -> str:
@@ -207,9 +207,26 @@ def _phrase(doc, text, gap):
     return bool(ends)
 
 
+def text_vector(text: str | None, stop_words: frozenset[str] = frozenset(), stem=None) -> list[dict] | None:
+    """Terms with their positions; stop words are left out but keep their places, and a stemmer maps tokens to terms."""
+    if text is None:
+        return None
+    places: dict[str, list[int]] = {}
+    for i, t in enumerate(_tokens(text), 1):
+        if t not in stop_words:
+            places.setdefault(stem(t) if stem else t, []).append(i)
+    return [{"term": t, "positions": p, "weight": "D"} for t, p in sorted(places.items())]
+
+
 def register(spark) -> None:
-    """The functions for queries that are columns."""
-    from pyspark.sql.functions import pandas_udf
+    """The functions that work by row: text vectors, and queries that are columns."""
+    from pyspark.sql.functions import arrow_udf, pandas_udf
+
+    def vectors(text: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("term", pa.string()), ("positions", pa.list_(pa.int32())), ("weight", pa.string())]))
+        return pa.array([text_vector(x) for x in text.to_pylist()], kind)
+
+    spark.udf.register("mw_text_vector", arrow_udf(vectors, "array<struct<term: string, positions: array<int>, weight: string>>"))
 
     def each(f, *columns):
         return pd.Series([f(*(None if x is pd.NA or x is None or x != x else x for x in row)) for row in zip(*columns)], dtype=object)
