@@ -19,6 +19,18 @@ from ..types import SORTABLE, name_of, sql_type
 class Lowered:
     sql: str
     cols: list[tuple[str, object, bool]]  # name, type, nullable
+    ranked: Ranked | None = None
+
+
+@dataclass
+class Ranked:
+    """The same query in parts, for ranking windows over more rows than one task should hold."""
+
+    base: str  # columns c.. but for windows, their keys w.., and sort keys k..
+    windows: list[tuple[int, str, list[tuple[str, bool, bool]]]]  # output, function, (column, desc, nulls first)
+    keys: list[tuple[str, bool, bool]]
+    limit: int | None
+    offset: int
 
 
 class Relational:
@@ -188,7 +200,15 @@ class Relational:
         body = "SELECT " + ", ".join(f"{x} AS c{i}" for i, (x, _) in enumerate(lowered))
         if order or s.distinct:
             body += "".join(f", {x} AS k{i}" for i, (x, _) in enumerate(keys))
-        return self._finish(f"{body} FROM {source}{where}", s.distinct, cols, list(zip(keys, order)), limit, offset)
+        out = self._finish(f"{body} FROM {source}{where}", s.distinct, cols, list(zip(keys, order)), limit, offset)
+        windows = [(i, e[1], e[2]) for i, (e, _) in enumerate(items) if e[0] == "window"]
+        if windows and outer is None and not s.distinct and not any(has_window(e) for e, _ in items if e[0] != "window"):
+            parts_ = [f"{x} AS c{i}" for i, ((e, _), (x, _)) in enumerate(zip(items, lowered)) if e[0] != "window"]
+            parts_ += [f"{self.scalars(o.expr, scope)[0]} AS w{i}_{j}" for i, _, by in windows for j, o in enumerate(by)]
+            parts_ += [f"{x} AS k{i}" for i, (x, _) in enumerate(keys)]
+            sorts = [(f"k{i}", o.desc, o.nulls_first) for i, o in enumerate(order)]
+            out.ranked = Ranked(f"SELECT {', '.join(parts_)} FROM {source}{where}", [(i, f, [(f"w{i}_{j}", o.desc, o.nulls_first) for j, o in enumerate(by)]) for i, f, by in windows], sorts, limit, offset)
+        return out
 
     def _order_expr(self, e: tuple, items, scope: Scope) -> tuple:
         """A key by ordinal or output name is that item."""

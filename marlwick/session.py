@@ -7,6 +7,7 @@ import time
 import uuid
 from dataclasses import dataclass
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 
 from .catalog import SUPERUSER, Catalog, Function, Index, Table
@@ -14,6 +15,7 @@ from .errors import BindError, ConstraintError, SecurityError
 from .functions import casts, fts
 from .functions.scalars import Col, Scope
 from .functions.text import name, quoted
+from .operators.ranking import sort_key, with_rank
 from .operators.relational import Lowered, Relational
 from .plans.parser import ColumnDef, Query, Recursive, Select, parse
 from .sources.store import Store, load_parquet
@@ -33,9 +35,41 @@ class Result:
     text: str = ""
 
 
+class Pending:
+    """A statement under way in a job group of its own."""
+
+    def __init__(self, session: Session, text: str):
+        self.session, self.group, self.outcome, self.error = session, f"marlwick-{uuid.uuid4().hex}", None, None
+
+        def work():
+            session.spark.sparkContext.setJobGroup(self.group, text, True)
+            try:
+                out = session.execute(text)
+                self.outcome = out.rows.collect() if out.rows is not None else out
+            except BaseException as e:  # handed on to whoever asks for the result
+                self.error = e
+
+        self.thread = InheritableThread(target=work, daemon=True)
+        self.thread.start()
+
+    def cancel(self) -> None:
+        self.session.spark.sparkContext.cancelJobGroup(self.group)
+
+    def result(self, timeout: float | None = None):
+        self.thread.join(timeout)
+        if self.thread.is_alive():
+            raise TimeoutError("the statement is still running")
+        if self.error:
+            raise self.error
+        return self.outcome
+
+
 class Session(Relational):
     """Runs the dialect over tables.  strict=True also refuses what the dialect's original restrictions refuse."""
 
+    #: Input of a ranking window over which one task ranks all rows.
+    one_task_bytes = 256 << 20
+
     def __init__(self, spark: SparkSession, role: str = SUPERUSER, strict: bool = False, folder: str | None = None, catalog: Catalog | None = None, encryption_key: str = "0123456789abcdef"):
         super().__init__()
         self.spark, self.role, self.strict = spark, role, strict
@@ -169,7 +203,29 @@ class Session(Relational):
         return self.recursive(statement, RECURSION_LIMIT) if isinstance(statement, Recursive) else self.query(statement)
 
     def frame(self, q: Lowered) -> DataFrame:
-        return self.spark.sql(q.sql).toDF(*(n for n, _, _ in q.cols))
+        names = [n for n, _, _ in q.cols]
+        if q.ranked:
+            base = self.spark.sql(q.ranked.base)
+            # a window over the whole table is one task; beyond a size the ranks are made partition by partition
+            if int(base._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > self.one_task_bytes:
+                return self._ranked(q, base).toDF(*names)
+        return self.spark.sql(q.sql).toDF(*names)
+
+    def _ranked(self, q: Lowered, df: DataFrame) -> DataFrame:
+        r = q.ranked
+        for i, function, keys in r.windows:
+            df = with_rank(df, f"c{i}", function, keys, r.keys if function == "row_number" else [])
+        if r.keys:
+            df = df.orderBy(*(sort_key(*k) for k in r.keys))
+        if r.offset:
+            df = df.offset(r.offset)
+        if r.limit is not None:
+            df = df.limit(r.limit)
+        return df.select(*(f"c{i}" for i in range(len(q.cols))))
+
+    def execute_async(self, text: str) -> Pending:
+        """Runs a statement in a thread; rows are collected.  It can be cancelled while it runs."""
+        return Pending(self, text)
 
     def run(self, statement) -> Result:
         if isinstance(statement, (Query, Recursive, Select)):

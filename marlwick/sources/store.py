@@ -27,11 +27,19 @@ def spark_schema(columns: list[ColumnDef]) -> T.StructType:
     return T.StructType([T.StructField(c.name, T.BinaryType() if c.encrypted else T.StructType.fromDDL(f"x {sql_type(c.type)}")["x"].dataType, True) for c in columns])
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; only where none is named, as in tests, a local one."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="marlwick-"))
+    return named or str(sc.getCheckpointDir())
+
+
 class Store:
     def __init__(self, spark: SparkSession, folder: str | None = None):
         self.spark = spark
-        named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        self.folder = folder or (f"{named}/tables-{uuid.uuid4().hex}" if named else tempfile.mkdtemp(prefix="marlwick-tables-"))
+        self.folder = folder or f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
 
     def write(self, rows: DataFrame) -> str:
         path = f"{self.folder}/{uuid.uuid4().hex}"
