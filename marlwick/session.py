@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import time
 import uuid
+import weakref
 from dataclasses import dataclass
 
 from pyspark import InheritableThread
@@ -23,6 +24,8 @@ from .types import name_of, sql_type, widened
 
 RECURSION_LIMIT = 999
 UNIQUE_METHODS = {"btree", "hash"}
+#: Spark sessions that have the settings and functions which the dialect needs.
+_READY: weakref.WeakSet = weakref.WeakSet()
 
 
 @dataclass
@@ -79,10 +82,12 @@ class Session(Relational):
         self.views: dict[int, tuple[str, object]] = {}
         self.running: list = []
         self.cte = None
-        spark.conf.set("spark.sql.ansi.enabled", "true")
-        spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-        casts.register(spark)
-        fts.register(spark)
+        if spark not in _READY:
+            spark.conf.set("spark.sql.ansi.enabled", "true")
+            spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+            casts.register(spark)
+            fts.register(spark)
+            _READY.add(spark)
 
     def as_role(self, role: str) -> Session:
         """A session of another role over the same catalog."""
