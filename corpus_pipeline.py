@@ -20,7 +20,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from marlwick.llm import decontaminate, jaccard_join, line_quality, secret_scan, wfst_tokenizer
-from marlwick.llm.common import documents, shared_folder
+from marlwick.llm.common import documents
+from marlwick.sources.store import shared_folder
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,10 +10,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import shared_folder
+
 #: Documents handled at once inside a Python worker; bounds its memory, not the result.
 SLICE = 512
 #: Entries of a per-worker memo; a full memo is emptied, so this bounds memory and never changes a result.
-MEMO = 400_000
+MEMO = 200_000
 
 
 class Memo(dict):
@@ -31,9 +32,9 @@ class Memo(dict):
         return value
 
 
-def word_hashes() -> Memo:
+def word_hashes(limit: int = MEMO) -> Memo:
     """Word -> 64-bit hash, the same in every process."""
-    return Memo(lambda w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")))
+    return Memo(lambda w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")), limit)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -74,23 +75,14 @@ def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE) -> Iterator[dic
             yield {name: part.column(i).to_pylist() for i, name in enumerate(part.schema.names)}
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; only where none is named, as in tests, a local one."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="marlwick-"))
-    return named or str(sc.getCheckpointDir())
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Computes df once, into the shared checkpoint folder, which the loss of an executor leaves whole."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-#: A side is broadcast up to so many rows of two longs (some 64 MB); beyond that the join shuffles.
-BROADCAST_ROWS = 4_000_000
+#: A side is broadcast up to so many rows of a long or two (some 32 MB); beyond that the join shuffles.
+BROADCAST_ROWS = 1_000_000
 
 
 def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -102,5 +94,11 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if it is so small that its files make fewer tasks than that; larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
