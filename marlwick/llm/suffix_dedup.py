@@ -116,12 +116,12 @@ class Suffixes:
         if not len(a):
             return length
         out = np.empty(len(a), np.int64)
-        for at in range(0, len(a), 100_000):
-            x, y, n = a[at : at + 100_000], b[at : at + 100_000], length[at : at + 100_000]
+        for at in range(0, len(a), 20_000):
+            x, y, n = a[at : at + 20_000], b[at : at + 20_000], length[at : at + 20_000]
             starts = np.append(0, np.cumsum(n)[:-1])
             step = np.arange(n.sum()) - np.repeat(starts, n)
             wrong = np.where(self.words[np.repeat(x, n) + step] != self.words[np.repeat(y, n) + step], step, 1 << 40)
-            out[at : at + 100_000] = np.minimum(n, np.minimum.reduceat(wrong, starts))
+            out[at : at + 20_000] = np.minimum(n, np.minimum.reduceat(wrong, starts))
         return out
 
 
@@ -165,10 +165,12 @@ def repeated_passages(docs: DataFrame, size: int = MIN_WORDS) -> DataFrame:
     if size < 4:
         raise ValueError("a passage has at least 4 words")
     width, gram = shuffle_width(docs.sparkSession), max(2, size * 2 // 5)
+    # sorting holds a partition's words at once, so there are more and smaller of those
+    fine = 4 * width
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(pid, grams, docs): which documents have which least grams."""
-        memo, held, ids, seen = word_hashes(), [], [], 0
+        memo, held, ids, seen = word_hashes(150_000), [], [], 0
 
         def flush():
             g, d = np.concatenate(held), np.repeat(np.array(ids, np.int64), [len(x) for x in held])
@@ -185,7 +187,7 @@ def repeated_passages(docs: DataFrame, size: int = MIN_WORDS) -> DataFrame:
                     g = least_grams(hashed(w, memo), size, gram)
                     held.append(np.unique(g[runs(g)])), ids.append(doc)
                     seen += len(held[-1])
-            if seen > 4_000_000:
+            if seen > 1_000_000:
                 yield flush()
                 held, ids, seen = [], [], 0
         if held:
@@ -219,7 +221,7 @@ def repeated_passages(docs: DataFrame, size: int = MIN_WORDS) -> DataFrame:
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(pid, docs, starts, counts, words): stretches of words whose first counts suffixes are to be sorted."""
-        memo, rows, seen = word_hashes(), [], 0
+        memo, rows, seen = word_hashes(150_000), [], 0
 
         def flush():
             by: dict[int, list] = {}
@@ -241,9 +243,9 @@ def repeated_passages(docs: DataFrame, size: int = MIN_WORDS) -> DataFrame:
                 short = (h >> np.uint64(32)).astype(np.uint32)
                 for i in np.flatnonzero(np.isin(g[starts], np.frombuffer(grams, np.uint64))).tolist():
                     s, e = int(starts[i]), int(starts[i + 1]) if i + 1 < len(starts) else len(g)
-                    rows.append((int(g[s] % np.uint64(width)), doc, s, e - s, short[s : e + size - 1]))
+                    rows.append((int(g[s] // np.uint64(1 << 20) % np.uint64(fine)), doc, s, e - s, short[s : e + size - 1]))
                     seen += e - s + size
-            if seen > 4_000_000:
+            if seen > 2_000_000:
                 yield flush()
                 rows, seen = [], 0
         if rows:
@@ -272,7 +274,7 @@ def repeated_passages(docs: DataFrame, size: int = MIN_WORDS) -> DataFrame:
             x, y = a[at : at + 500_000], b[at : at + 500_000]
             yield pa.RecordBatch.from_arrays([pa.array(d[seg[x]]), pa.array((s[seg[x]] + inside[x]).astype(np.int32)), pa.array((s[seg[y]] + inside[y] + size).astype(np.int32)), pa.array(low[at : at + 500_000])], ["doc_id", "start_word", "end_word", "first_doc_id"])
 
-    laid = _texts(docs).join(wanted, "doc_id").select("doc_id", "text", "grams").mapInArrow(segments, "pid int, docs binary, starts binary, counts binary, words binary").repartitionById(width, "pid")
+    laid = _texts(docs).join(wanted, "doc_id").select("doc_id", "text", "grams").mapInArrow(segments, "pid int, docs binary, starts binary, counts binary, words binary").repartitionById(fine, "pid")
     spans = laid.mapInArrow(sort, "doc_id long, start_word int, end_word int, first_doc_id long")
     # join what overlaps or touches, in each document
     w = Window.partitionBy("doc_id").orderBy("start_word", "end_word")
