@@ -157,5 +157,5 @@ def contaminated(docs: DataFrame, items: DataFrame, min_match: int = MIN_MATCH,
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, min_match: int = MIN_MATCH, threshold: float = THRESHOLD) -> DataFrame:
     """docs without those that hold a test item; rows without doc_id are not judged and stay."""
-    bad = cut(contaminated(docs, items, min_match, threshold).where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(small_or_shuffled(bad), docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    bad = small_or_shuffled(cut(contaminated(docs, items, min_match, threshold).where("doc_id IS NOT NULL").select("doc_id").distinct()))
+    return docs.join(bad, docs["doc_id"].cast("long") == bad["doc_id"], "left_anti")
