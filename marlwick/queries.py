@@ -199,11 +199,88 @@ def custom_operator(spark: SparkSession, d: str) -> DataFrame:
     return s.sql("SELECT o_orderkey, o_orderkey <-> o_custkey AS away FROM orders")
 
 
+def insert_values(spark: SparkSession, d: str) -> DataFrame:
+    s = _copied(spark, d)
+    s.execute("INSERT INTO accounts (id, segment, nation) VALUES (-7, 'O''Neil', 3)")
+    s.execute("INSERT INTO accounts (nation, id) VALUES (NULL, -8)")
+    return s.sql("SELECT id, segment, nation, twice FROM accounts WHERE id < 10")
+
+
+def add_column(spark: SparkSession, d: str) -> DataFrame:
+    s = _copied(spark, d)
+    s.execute("ALTER TABLE accounts ADD COLUMN note TEXT")
+    s.execute("UPDATE accounts SET note = segment WHERE id < 700")
+    return s.sql("SELECT note, COUNT(*) AS n FROM accounts GROUP BY note")
+
+
+def encrypted_column(spark: SparkSession, d: str) -> DataFrame:
+    s = session(spark, d, "customer")
+    s.execute("CREATE TABLE vault (id INT64, name TEXT ENCRYPTED, balance FLOAT64 ENCRYPTED)")
+    s.insert_rows("vault", s.sql("SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance FROM customer"))
+    return s.sql("SELECT id, name, balance FROM vault WHERE balance > 5000.0")
+
+
+def trigger_after_update(spark: SparkSession, d: str) -> DataFrame:
+    s = _copied(spark, d)
+    s.execute("CREATE TABLE log (n INT64)")
+    s.execute("CREATE TRIGGER noted AFTER UPDATE ON accounts EXECUTE SQL 'INSERT INTO log (n) VALUES (1)'")
+    s.execute("UPDATE accounts SET nation = 0 WHERE nation = 1")
+    s.execute("UPDATE accounts SET nation = 0 WHERE nation = 1")
+    return s.sql("SELECT COUNT(*) AS n FROM log")
+
+
+def procedure_call(spark: SparkSession, d: str) -> DataFrame:
+    s = _copied(spark, d)
+    s.execute("CREATE PROCEDURE move(INT64, INT64) AS 'UPDATE accounts SET nation = $2 WHERE nation = $1'")
+    s.execute("CALL move(4, 40)")
+    return s.sql("SELECT nation, COUNT(*) AS n FROM accounts GROUP BY nation")
+
+
+def checkpoint_restore(spark: SparkSession, d: str) -> DataFrame:
+    s = _copied(spark, d)
+    folder = f"{s.store.folder}/image"
+    s.checkpoint(folder)
+    s.execute("DELETE FROM accounts")
+    s.restore(folder)
+    return s.sql("SELECT id, segment, nation, twice FROM accounts")
+
+
+def _indexed(tables: str, index: str, text: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A query whose table has an index.  Indexes are metadata: the scan's filter is pushed to the files' statistics."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        s = session(spark, d, f"{tables} {text}")
+        s.execute(index)
+        return s.sql(text)
+
+    return run
+
+
+_INDEXED: dict[str, tuple[str, str, str]] = {
+    "index_scan": ("CREATE INDEX i ON orders USING hash (o_custkey)", "SELECT o_orderkey FROM orders WHERE o_custkey = 5", "SELECT o_orderkey FROM orders WHERE o_custkey = 5"),
+    "expression_index_scan": ("CREATE INDEX i ON orders (o_custkey + o_orderkey)", "SELECT o_orderkey FROM orders WHERE o_custkey + o_orderkey = 1000", "SELECT o_orderkey FROM orders WHERE o_custkey + o_orderkey = 1000"),
+    "index_range_scan": ("CREATE UNIQUE INDEX i ON orders (o_orderkey)", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey >= 40 AND o_orderkey < 90", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey >= 40 AND o_orderkey < 90"),
+    "index_skip_scan": ("CREATE INDEX i ON lineitem (l_returnflag, l_suppkey)", "SELECT l_orderkey, l_partkey FROM lineitem WHERE l_suppkey = 3", "SELECT l_orderkey, l_partkey FROM lineitem WHERE l_suppkey = 3"),
+    "inverted_text_scan": ("CREATE INDEX i ON documents USING gin (text)", "SELECT doc_id FROM documents WHERE text @@ 'licensed & apache'", f"SELECT doc_id FROM {DOC_TOKENS} WHERE list_contains(k, 'licensed') AND list_contains(k, 'apache')"),
+    "inverted_value_scan": ("CREATE INDEX i ON event_attrs USING gin (attrs)", "SELECT event_id FROM event_attrs WHERE attrs @> HSTORE('type' => 'signup')", "SELECT event_id FROM events WHERE event_type = 'signup'"),
+    "block_summary_scan": ("CREATE INDEX i ON orders USING brin (o_orderkey)", "SELECT o_orderkey FROM orders WHERE o_orderkey BETWEEN 300 AND 310", "SELECT o_orderkey FROM orders WHERE o_orderkey BETWEEN 300 AND 310"),
+    "range_overlap_scan": ("CREATE INDEX i ON order_range USING gist (r)", "SELECT o_orderkey FROM order_range WHERE r && RANGE(500, 520, '()')", "SELECT o_orderkey FROM orders WHERE o_custkey % 50 > 0 AND o_orderkey < 520 AND o_orderkey + o_custkey % 50 > 500"),
+    "bounds_overlap_scan": ("CREATE INDEX i ON line_box USING gist (box)", "SELECT l_orderkey FROM line_box WHERE box && ARRAY[RANGE(0, 1, '[]'), RANGE(5, 6, '[]')]", "SELECT l_orderkey FROM lineitem WHERE l_linenumber <= 1 AND l_suppkey <= 6 AND l_suppkey + 10 >= 5"),
+}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: _query(text) for n, (text, _) in _PAIRS.items()}
-QUERIES |= {f.__name__: f for f in (row_policy_filter, generated_column, dml_update_delete, transaction_rollback, fk_violation_rows, scalar_udf, custom_operator)}
+QUERIES |= {n: _indexed("", index, text) for n, (index, text, _) in _INDEXED.items()}
+QUERIES |= {f.__name__: f for f in (row_policy_filter, generated_column, dml_update_delete, transaction_rollback, fk_violation_rows, scalar_udf, custom_operator, insert_values, add_column, encrypted_column, trigger_after_update, procedure_call, checkpoint_restore)}
 
 ORACLE: dict[str, str] = {n: sql or text for n, (text, sql) in _PAIRS.items()}
+ORACLE |= {n: sql for n, (_, _, sql) in _INDEXED.items()}
 ORACLE |= {
+    "insert_values": "SELECT c_custkey AS id, c_mktsegment AS segment, c_nationkey::BIGINT AS nation, 2 * c_nationkey::BIGINT AS twice FROM customer WHERE c_custkey < 10 UNION ALL SELECT -7, 'O''Neil', 3, 6 UNION ALL SELECT -8, NULL, NULL, NULL",
+    "add_column": "SELECT CASE WHEN c_custkey < 700 THEN c_mktsegment END AS note, count(*) AS n FROM customer GROUP BY 1",
+    "encrypted_column": "SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance FROM customer WHERE c_acctbal > 5000.0",
+    "trigger_after_update": "SELECT CAST(least(count(*), 1) AS BIGINT) AS n FROM customer WHERE c_nationkey = 1",
+    "procedure_call": "SELECT CASE WHEN c_nationkey = 4 THEN 40 ELSE c_nationkey END::BIGINT AS nation, count(*) AS n FROM customer GROUP BY 1",
+    "checkpoint_restore": "SELECT c_custkey AS id, c_mktsegment AS segment, c_nationkey::BIGINT AS nation, 2 * c_nationkey::BIGINT AS twice FROM customer",
     "row_policy_filter": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O' AND o_totalprice < 250000.0 AND o_orderpriority <> '5-LOW'",
     "generated_column": "SELECT id, nation, 2 * nation AS twice FROM (SELECT c_custkey AS id, c_nationkey::BIGINT + CASE WHEN c_mktsegment = 'BUILDING' THEN 100 ELSE 0 END AS nation FROM customer)",
     "dml_update_delete": "SELECT c_custkey AS id, c_mktsegment || CASE WHEN c_nationkey BETWEEN 10 AND 12 THEN '!' ELSE '' END AS segment, c_nationkey::BIGINT AS nation, 2 * c_nationkey::BIGINT AS twice FROM customer WHERE c_nationkey >= 3 UNION ALL SELECT -1, 'NEW', NULL, NULL",

@@ -111,3 +111,25 @@ def test_stream(spark, data, tmp_path):
     q.stop()
     want = windowed_counts(table, "ts", ["event_type"], "1 day")
     assert sorted(map(tuple, spark.table("counted").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_function_registry(spark):
+    from marlwick.udf import Registry
+
+    r = Registry()
+    r.define("f", "scalar", ("int64",), "int64", lambda x: x + 1)
+    r.define("f", "scalar", ("text",), "text", lambda x: x + "!")
+
+    def total(x):
+        return x.sum()
+
+    total.__annotations__ = {"x": __import__("pandas").Series, "return": int}
+    r.define("total", "aggregate", ("int64",), "int64", total)
+    r.define("twice", "table", ("int64",), (("id", "int64"),), lambda it: (x for pdf in it for x in (pdf, pdf)))
+    df = spark.range(4)
+    assert [x[0] for x in df.select(r.column("f", ("int64",), "id")).collect()] == [1, 2, 3, 4]
+    assert df.agg(r.column("total", ("int64",), "id")).collect()[0][0] == 6
+    assert r.table("twice", ("int64",), df).count() == 8
+    for bad in (lambda: r.resolve("f", ("bool",)), lambda: r.define("F", "scalar", ("int64",), "int64", total), lambda: r.define("g", "odd", (), "int64", total), lambda: r.table("f", ("int64",), df), lambda: r.column("twice", ("int64",), "id")):
+        with pytest.raises(BindError):
+            bad()
