@@ -7,9 +7,9 @@ groups whose bound reaches the threshold are opened, and their members compared
 Which cells of the matrix can be other than hopeless is found without visiting the rest: with tokens in one global order, two
 sets of Jaccard index t or more share k of their first len - ceil(t * len) + k tokens, for any k up to ceil(t * len).  The
 order puts frequent tokens last; that serves speed alone.  All sets that have a prefix token are tied to the least of them, the
-leader; a set belongs to the groups of the leaders with which it shares k prefix tokens.  Two sets alone always meet so.  In a
-crowd of copies, two meet through any leader that both resemble; this step, linear in the copies, is the only one that could
-miss a pair, and the tests hold it against brute force.
+leader; a set belongs to the groups of the leaders with which it shares k prefix tokens, and of its nearest leaders.  Two sets
+alone always meet so.  In a crowd of copies, two meet through any leader that both resemble; this step, linear in the copies,
+is the only one that could miss a pair, and the tests hold it against brute force.
 
 Defined cases: words are lower-cased runs between white space.  A text of fewer than n words is one token.  Null and empty
 texts have no tokens and are similar to nothing.  Rows without doc_id can't be named in a pair and take no part.  Rows that
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, hashed, ngram_hashes, shuffle_width, slices, small_or_shuffled, word_hashes, words_of
@@ -35,6 +35,8 @@ N, THRESHOLD = 3, 0.5
 LOCAL, OFTEN, MOST = 2, 12, 1_000_000
 #: Prefix tokens that candidates must share (k above, less for small sets); a power of two.  More are more selective.
 SHARED = 8
+#: Two members of a crowd may be alike and yet less like its leader; so the strongest few ties count from less tokens on.
+WEAK, NEAREST = 3, 2
 #: Members of a group; a larger one is split, and each query then meets every part of it.
 GROUP = 1024
 
@@ -88,7 +90,7 @@ def frequent_tokens(docs: DataFrame, n: int) -> np.ndarray:
             for w in words:
                 held.append(ngram_hashes(hashed(w, memo), n))
                 seen += len(held[-1])
-            if seen > 8_000_000:
+            if seen > 3_000_000:
                 yield flush()
                 held, seen = [], 0
         if held:
@@ -133,7 +135,7 @@ def _postings(docs: DataFrame, n: int, t: float, frequent: np.ndarray, width: in
                     p = prefix(s, t, late)
                     tokens.append(p), counts.append(len(p)), sets.append(set_id(s, t)), ids.append(doc)
                     held += len(p)
-            if held > 4_000_000:
+            if held > 1_500_000:
                 yield flush()
                 tokens, counts, sets, ids, held = [], [], [], [], 0
         if ids:
@@ -217,9 +219,11 @@ def set_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tupl
         raise ValueError("threshold must be in (0, 1]")
     width = shuffle_width(docs.sparkSession)
     posted = _postings(docs, n, threshold, frequent_tokens(docs, n), width).repartitionById(width, "pid").mapInArrow(_ties, "kind int, a long, b long, times long")
-    found = cut(posted.groupBy("kind", "a", "b").agg(F.sum("times").alias("times")).where(f"kind = 1 OR times > least(a & {SHARED - 1}, b & {SHARED - 1})").select("kind", "a", "b"))
+    enough = f"times > least(a & {SHARED - 1}, b & {SHARED - 1})"
+    found = cut(posted.groupBy("kind", "a", "b").agg(F.sum("times").alias("times")).where(f"kind = 1 OR times >= {WEAK} OR {enough}"))
     members = found.where("kind = 1").select(F.col("a").alias("set"), F.col("b").alias("doc_id"))
-    ties = found.where("kind = 0").select(F.col("a").alias("set"), F.col("b").alias("leader"))
+    nearest = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("times"), "b"))
+    ties = found.where("kind = 0").withColumn("n", nearest).where(f"{enough} OR n <= {NEAREST}").select(F.col("a").alias("set"), F.col("b").alias("leader"))
     # Leaders follow their own least leader, twice, so that the groups of one crowd fall together.
     above = ties.groupBy(F.col("set").alias("leader")).agg(F.min("leader").alias("up"))
     led = ties
@@ -245,7 +249,7 @@ def set_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tupl
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()))], ["leader", "part", "set", "member", "tokens"])
 
     texts = _texts(docs)
-    laid = texts.join(small_or_shuffled(wanted), texts["doc_id"] == F.col("_doc")).select("text", "set", "cells").mapInArrow(lay, "leader long, part int, set long, member boolean, tokens binary")
+    laid = texts.join(small_or_shuffled(wanted, 200_000), texts["doc_id"] == F.col("_doc")).select("text", "set", "cells").mapInArrow(lay, "leader long, part int, set long, member boolean, tokens binary")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, members_, queries_, last = None, [], [], None
@@ -316,5 +320,5 @@ def drop_near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHO
     """
     pairs = jaccard_join(docs, n, threshold)
     label = components(pairs.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")))
-    gone = cut(label.where("doc_id <> root").select(F.col("doc_id").alias("_gone")))
-    return docs.join(small_or_shuffled(gone), docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    gone = small_or_shuffled(cut(label.where("doc_id <> root").select("doc_id")))
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
