@@ -23,6 +23,8 @@ from .sources.store import Store, load_parquet
 from .types import name_of, sql_type, widened
 
 RECURSION_LIMIT = 999
+#: Files of a table beyond which INSERT writes them into one.
+MOST_FILES = 64
 UNIQUE_METHODS = {"btree", "hash"}
 #: Spark sessions that have the settings and functions which the dialect needs.
 _READY: weakref.WeakSet = weakref.WeakSet()
@@ -486,8 +488,8 @@ class Session(Relational):
         try:
             count, paths = change()
             if count:
-                old, t.paths = t.paths, paths
-                self._check(t, event, old)
+                t.paths = paths
+                self._check(t, event)
                 self._fire(t, event)
             return Result("affected", affected=count)
         except BaseException:
@@ -544,7 +546,10 @@ class Session(Relational):
         def change():
             row = self._generated(t, table[1], self.spark.sql(f"SELECT {', '.join(parts)}"))
             self._allowed_rows(t, table[1], row)
-            return 1, [*t.paths, self._stored(t, row)]
+            paths = t.paths
+            if len(paths) >= MOST_FILES:  # single rows make small files; now and then they become one
+                paths = [self.store.write(self.store.read(t))]
+            return 1, [*paths, self._stored(t, row)]
 
         return self._mutate(t, "insert", change)
 
@@ -620,13 +625,13 @@ class Session(Relational):
 
     # constraints
 
-    def _check(self, t: Table, event: str, old: list[str]) -> None:
+    def _check(self, t: Table, event: str) -> None:
         rows = self.spark.sql(self._decrypted(t))
         if event != "delete":
             fresh = rows
-            if event == "insert" and len(t.paths) > len(old):
-                # only the new file can break NOT NULL or a reference
-                part = Table(t.name + "+", t.columns, t.owner, t.paths[len(old):])
+            if event == "insert":
+                # only the new file, the last, can break NOT NULL or a reference
+                part = Table(t.name + "+", t.columns, t.owner, t.paths[-1:])
                 fresh = self.spark.sql(self._decrypted(part))
             bad = [f"{name(c.name)} IS NULL" for c in t.columns if not c.nullable]
             if bad and not fresh.where(" OR ".join(bad)).isEmpty():

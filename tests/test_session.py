@@ -210,3 +210,13 @@ def test_registered_frames_are_read_only(s, spark):
 def test_explain(s):
     text = s.execute("EXPLAIN ANALYZE COSTS SELECT id FROM accounts WHERE balance > 3").text
     assert "Analyze rows=2 elapsed_us=" in text and "sizeInBytes" in text
+
+
+def test_many_inserts_keep_few_files(s, monkeypatch):
+    monkeypatch.setattr("marlwick.session.MOST_FILES", 3)
+    for i in range(10, 16):
+        s.execute(f"INSERT INTO accounts (id, balance) VALUES ({i}, {i})")
+    assert len(s.catalog.table((None, "accounts")).paths) <= 4
+    assert [r[0] for r in rows(s)] == [1, 2, 10, 11, 12, 13, 14, 15] and rows(s)[-1][3] == 30
+    with pytest.raises(ConstraintError):
+        s.execute("INSERT INTO accounts (id) VALUES (12)")
