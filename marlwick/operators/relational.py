@@ -122,7 +122,8 @@ class Relational:
         cols = [Col(s.table[1], n, f"{a}.{name(n)}", t, null) for n, t, null in base.cols]
         sql = f"({base.sql}) {a}"
         if not s.join:
-            return sql, Scope(cols, outer)
+            cte = getattr(self, "cte", None)
+            return sql, Scope(cols, outer, restricted=self.strict and cte is not None and s.table == (None, cte[0]))
         return self.join(s, sql, cols, outer)
 
     def join(self, s: Select, sql: str, cols: list[Col], outer: Scope | None) -> tuple[str, Scope]:
@@ -187,6 +188,8 @@ class Relational:
             scope.known[("out", i)] = (c.sql, c.type)
         order = tuple(o._replace(expr=self._order_expr(o.expr, items, scope)) for o in order)
         if s.group or s.sets is not None or s.having or any(is_aggregate(e) for e, _ in items):
+            if scope.restricted:
+                raise BindError("a recursive query has no aggregates (strict)")
             if s.having and not (s.group or s.sets is not None or any(is_aggregate(e) for e, _ in items) or is_aggregate(s.having)):
                 raise BindError("HAVING needs groups or an aggregate")
             return self.grouped(s, items, outputs, f"{source}{where}", scope, order, limit, offset)

@@ -300,7 +300,7 @@ class Session(Relational):
         t = Table(key, list(columns), self.role)
         for i, c in enumerate(columns):
             if c.generated:
-                scope = Scope([Col(table[1], x.name, name(x.name), x.type) for x in columns[:i]])
+                scope = Scope([Col(table[1], x.name, name(x.name), x.type) for x in columns[:i]], restricted=self.strict)
                 if self.scalars(c.generated, scope)[1] != c.type:
                     raise BindError(f"the expression of {c.name} is not {name_of(c.type)}")
             if c.references:
@@ -346,7 +346,7 @@ class Session(Relational):
             raise BindError("an index of several keys is a btree")
         if unique and method not in UNIQUE_METHODS:
             raise BindError(f"a {method} index is not unique")
-        scope = Scope([Col(table[1], c.name, name(c.name), c.type) for c in t.columns])
+        scope = Scope([Col(table[1], c.name, name(c.name), c.type) for c in t.columns], restricted=self.strict)
         for k in keys:
             kind = self.scalars(k, scope)[1]
             if method in UNIQUE_METHODS and kind not in ("int64", "text"):

@@ -78,6 +78,10 @@ def test_strict_refuses_what_the_default_accepts(spark, data):
         loose.sql(t)
         with pytest.raises(BindError):
             strict.sql(t)
+    for t in ("WITH RECURSIVE n(i) AS (SELECT c_custkey FROM customer UNION ALL SELECT i + 1 FROM n WHERE i BETWEEN 0 AND 3) SELECT i FROM n", "WITH RECURSIVE n(i) AS (SELECT c_custkey FROM customer UNION ALL SELECT i + 1 FROM n WHERE i < 3) SELECT COUNT(*) FROM n", "CREATE TABLE t (a INT64, b BOOL GENERATED ALWAYS AS (a IS NULL) STORED)", "CREATE INDEX e ON customer (CASE WHEN c_custkey = 1 THEN 1 ELSE 2 END)"):
+        with pytest.raises(BindError):
+            strict.execute(t)
+        loose.execute(t)
     strict.execute("CREATE INDEX by_key ON customer (c_custkey)")
     assert strict.sql(texts[2]).count() == loose.sql(texts[2]).count()
 
