@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import lean, slices
 
 ROLES = {"system": "system", "developer": "system", "user": "user", "human": "user", "prompter": "user", "question": "user", "assistant": "assistant", "gpt": "assistant", "bot": "assistant", "chatgpt": "assistant", "model": "assistant", "answer": "assistant", "tool": "tool", "function": "tool", "observation": "tool"}
 
@@ -151,7 +151,7 @@ def format_chats(records: DataFrame, key: str, column: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(part[key], kind), pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.string())], [key, "layout", "n_turns", "chat"])
 
     kind = pa.int64()
-    return records.select(F.col(key).cast("long").alias(key), F.col(column).alias("record")).mapInArrow(run, f"`{key}` long, layout string, n_turns int, chat string")
+    return lean(records).select(F.col(key).cast("long").alias(key), F.col(column).alias("record")).mapInArrow(run, f"`{key}` long, layout string, n_turns int, chat string")
 
 
 def conversation_records(turns: DataFrame) -> DataFrame:

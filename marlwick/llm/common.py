@@ -67,6 +67,18 @@ def ngram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return mixed(out)
 
 
+#: Rows of a batch that goes to Python; Spark's default of 10,000 texts would be tens of MB in the JVM and again in Python.
+BATCH_ROWS = 1024
+
+
+def lean(df: DataFrame) -> DataFrame:
+    """df, after seeing to it that its texts go to Python in small batches, unless the session names a number of its own."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE) -> Iterator[dict[str, list]]:
     """Column lists of at most so many rows, from Arrow batches."""
     for batch in batches:

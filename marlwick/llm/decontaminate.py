@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ngram_hashes, slices, small_or_shuffled, words_of
+from .common import cut, lean, ngram_hashes, slices, small_or_shuffled, words_of
 
 MIN_MATCH, THRESHOLD = 5, 0.5
 #: Words of test items that one pass over the documents carries (some 100 MB a worker at most); more items take more passes.
@@ -127,7 +127,7 @@ def contaminated(docs: DataFrame, items: DataFrame, min_match: int = MIN_MATCH,
             held, size = [], 0
     passes.append(held)
     found = None
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL")
+    texts = lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL")
     schema = "doc_id long, item_id long, n_tiles int, matched_words int, item_words int, coverage double"
     for chunk in passes:
         shared = spark.sparkContext.broadcast(chunk)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import lean, slices
 
 TRAIN_DOCS, KEEP_SHARE = 2000, 0.4
 BOILERPLATE, CONTENT = 0, 1
@@ -206,7 +206,7 @@ def line_quality(docs: DataFrame, labels: DataFrame, keep_share: float = KEEP_SH
             share = np.array([r[2] for r in rows])
             yield pa.RecordBatch.from_arrays([pa.array(part["doc_id"], pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array(share), pa.array((share >= keep_share) & (share > 0))], ["doc_id", "n_lines", "content_lines", "content_share", "keep"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_lines int, content_lines int, content_share double, keep boolean")
+    return lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_lines int, content_lines int, content_share double, keep boolean")
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, keep_share: float = KEEP_SHARE, most: int = TRAIN_DOCS) -> DataFrame:
@@ -220,4 +220,4 @@ def keep_quality(docs: DataFrame, labels: DataFrame, keep_share: float = KEEP_SH
                 share = np.array([r[2] for r in judge(part.column(place).to_pylist(), field)])
                 yield part.filter(pa.array((share >= keep_share) & (share > 0)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return lean(docs).mapInArrow(run, docs.schema)

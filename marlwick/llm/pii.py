@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, slices
+from .common import Memo, lean, slices
 
 KEY = "marlwick-development-key"
 
@@ -233,7 +233,7 @@ def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
             rows = [s.replace(x) for x in part["text"]]
             yield pa.RecordBatch.from_arrays([pa.array(part["doc_id"], pa.int64()), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32())], ["doc_id", "text", "n_entities"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, text string, n_entities int")
+    return lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, text string, n_entities int")
 
 
 def collisions(docs: DataFrame, key: str = KEY) -> DataFrame:
@@ -245,5 +245,5 @@ def collisions(docs: DataFrame, key: str = KEY) -> DataFrame:
             found = {(kind.partition(":")[0], x[a:b], s.memo[kind, x[a:b]]) for x in part["text"] for a, b, kind in entities(x)}
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.string()) for i in range(3)], ["kind", "entity", "surrogate"])
 
-    met = docs.select("text").mapInArrow(run, "kind string, entity string, surrogate string")
+    met = lean(docs).select("text").mapInArrow(run, "kind string, entity string, surrogate string")
     return met.groupBy("kind", "surrogate").agg(F.count_distinct("entity").alias("n_entities")).where("n_entities > 1")

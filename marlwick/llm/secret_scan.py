@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import lean, slices
 
 CONTEXT, RECALL, FINDINGS, SEED = 24, 0.99, 6000, 7
 REDACTED = "[SECRET]"
@@ -260,7 +260,7 @@ def secret_scan(docs: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["doc_id", "start", "end", "masked", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, start int, end int, masked string, score double")
+    return lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, start int, end int, masked string, score double")
 
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
@@ -283,4 +283,4 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
                     part = pa.RecordBatch.from_arrays(columns, schema=part.schema)
                 yield part
 
-    return docs.mapInArrow(run, docs.schema)
+    return lean(docs).mapInArrow(run, docs.schema)

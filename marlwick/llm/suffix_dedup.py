@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hashed, ngram_hashes, shuffle_width, slices, word_hashes, words_of
+from .common import hashed, lean, ngram_hashes, shuffle_width, slices, word_hashes, words_of
 
 MIN_WORDS = 50
 
@@ -156,7 +156,7 @@ def repeated(words: np.ndarray, at: np.ndarray, room: np.ndarray, doc: np.ndarra
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    return lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
 
 
 def repeated_passages(docs: DataFrame, size: int = MIN_WORDS) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, slices
+from .common import Memo, lean, slices
 from .wfst_tokenizer import MODEL, NORMAL, SPACE, Vocabulary
 
 
@@ -115,4 +115,4 @@ def token_counts(docs: DataFrame, model: str = MODEL) -> DataFrame:
         for part in slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array(part["doc_id"], pa.int64()), pa.array([None if x is None else c.count(x) for x in part["text"]], pa.int32())], ["doc_id", "n_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens int")
+    return lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens int")

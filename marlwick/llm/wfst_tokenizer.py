@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, slices
+from .common import Memo, lean, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -103,7 +103,7 @@ class Transducer:
         # rank of the merge that makes a piece; pieces that the merges can't make are in no path
         self.rank = {p: -self.v.scores[i] for p, i in self.v.ids.items() if len(p) > 1}
         self.halves = {} if self.v.unigram else {p: h for p in self.rank if (h := self._last_merge(p))}
-        self.beside = Memo(lambda pair: self._stands(*pair), 500_000)
+        self.beside = Memo(lambda pair: self._stands(*pair), 200_000)
         self.runs: dict[int, list[int]] = {}
         # arcs out of a place: the longest piece by its first characters, and from each piece the next shorter one
         self.reach: dict[str, int] = {}
@@ -115,7 +115,7 @@ class Transducer:
         self.unknown = min((s for s, k in zip(self.v.scores, self.v.kinds) if k == NORMAL), default=0.0) - 10
         self.inner_breaks = not any("\n" in p for p in self.v.ids)
         # a word's ids, packed, with and without the space before it
-        self.words, self.bare = Memo(lambda w: self._packed(SPACE + w), 500_000), Memo(self._packed, 200_000)
+        self.words, self.bare = Memo(lambda w: self._packed(SPACE + w), 400_000), Memo(self._packed, 50_000)
 
     def _packed(self, text: str) -> bytes:
         return np.array(self.chunk(text), np.int32).tobytes()
@@ -284,7 +284,7 @@ def encode_decode(docs: DataFrame, model: str = MODEL) -> DataFrame:
                 ["doc_id", "ids", "n_tokens", "decoded", "lossless"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>, n_tokens int, decoded string, lossless boolean")
+    return lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>, n_tokens int, decoded string, lossless boolean")
 
 
 def default_model(spark) -> str:

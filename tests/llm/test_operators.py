@@ -56,8 +56,11 @@ def brute_pairs(texts, n, t):
     return {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for i, a in enumerate(ids) for b in ids[i + 1 :] if len(sets[a] & sets[b]) >= t * len(sets[a] | sets[b])}
 
 
-@pytest.mark.parametrize("t", [0.3, 0.5, 0.9, 1.0])
-def test_jaccard_recall_in_crowds(spark, t):
+@pytest.mark.parametrize("t, split", [(0.3, False), (0.5, False), (0.5, True), (0.9, False), (1.0, False)])
+def test_jaccard_recall_in_crowds(spark, monkeypatch, t, split):
+    if split:  # groups in parts, queries in blocks
+        monkeypatch.setattr(jaccard_join, "GROUP", 7)
+        monkeypatch.setattr(jaccard_join, "BLOCK", 17)
     r = random.Random(3)
     texts, k = {}, 0
     for size in (1, 2, 5, 60):
@@ -276,12 +279,13 @@ def test_held_out_findings():
     assert (scores[y == 1] >= net.threshold).mean() > 0.97 and (scores[y == 0] >= net.threshold).mean() < 0.05
 
 
-def test_planted_secrets(spark, data):
+def test_planted_secrets(spark):
+    data = "/root/testdata/sf0.01"
     pattern = re.compile(r'(?<=password=)[0-9a-f]{18}|(?<=token = ")[0-9a-f]{40}|AKIA[0-9A-Z]{16}')
     texts = texts_of(spark, data)
     want = {(d, *m.span()) for d, t in texts.items() for m in pattern.finditer(t)}
     got = {(r.doc_id, r.start, r.end) for r in queries.op6_secret_scan(spark, data).collect()}
-    assert len(want & got) >= 0.95 * len(want) and len(got - want) <= 0.02 * len(texts)
+    assert len(want) > 5 and len(want & got) >= 0.95 * len(want) and len(got - want) <= 2
     clean = {d for d, t in texts.items() if not secret_scan.candidates(t)}
     for r in secret_scan.redact_secrets(documents(spark, data)).collect():
         assert r.n_chars == len(r.text) if r.doc_id in {g[0] for g in got} else r.text == texts[r.doc_id]
