@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, hashed, ngram_hashes, shuffle_width, slices, small_or_shuffled, word_hashes, words_of
+from .common import cut, hashed, lean, ngram_hashes, shuffle_width, slices, small_or_shuffled, word_hashes, words_of
 
 N, THRESHOLD = 3, 0.5
 #: Tokens whose order is pushed back: seen LOCAL times in a part and OFTEN times in all, at most MOST of them (8 MB).  They
@@ -37,8 +37,9 @@ LOCAL, OFTEN, MOST = 2, 12, 1_000_000
 SHARED = 8
 #: Two members of a crowd may be alike and yet less like its leader; so the strongest few ties count from less tokens on.
 WEAK, NEAREST = 3, 2
-#: Members of a group; a larger one is split, and each query then meets every part of it.
-GROUP = 1024
+#: Members of a group; a larger one is split, and each query then meets every part of it.  Queries come in blocks, so that no task
+#: reads more than one part and one block at a time.
+GROUP, BLOCK = 1024, 4096
 
 
 def token_set(text: str | None, memo, n: int) -> np.ndarray:
@@ -71,7 +72,7 @@ def prefix(tokens: np.ndarray, t: float, frequent: np.ndarray) -> np.ndarray:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    return lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
 
 
 def frequent_tokens(docs: DataFrame, n: int) -> np.ndarray:
@@ -231,25 +232,28 @@ def set_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tupl
         led = led.join(above, "leader", "left").select("set", F.least("leader", "up").alias("leader"))
     cells = led.union(led.select("leader", "leader")).union(ties.select("leader").distinct().join(above, "leader").select(F.col("leader").alias("set"), F.col("up").alias("leader")))
     cells = cut(cells.distinct())
-    parts = cells.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("parts")).where("parts > 1")
-    cells = cells.join(parts, "leader", "left").select("set", "leader", F.coalesce("parts", F.lit(1)).alias("parts"))
-    home = F.expr("cast(pmod(xxhash64(set), parts) AS int)")
+    size = cells.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).where(f"n > {GROUP}").select("leader", F.ceil(F.col("n") / GROUP).cast("int").alias("parts"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    cells = cells.join(size, "leader", "left").select("set", "leader", F.coalesce("parts", F.lit(1)).alias("parts"), F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    home, block = F.expr("cast(pmod(xxhash64(set), parts) AS int)"), F.expr("cast(pmod(xxhash64(set, 1), blocks) AS int)")
     wanted = members.join(cells.select("set").distinct(), "set", "left_semi").groupBy("set").agg(F.min("doc_id").alias("_doc"))
-    wanted = cut(wanted.join(cells.groupBy("set").agg(F.collect_list(F.struct("leader", "parts", home.alias("home"))).alias("cells")), "set"))
+    wanted = cut(wanted.join(cells.groupBy("set").agg(F.collect_list(F.struct("leader", "parts", "blocks", home.alias("home"), block.alias("block"))).alias("cells")), "set"))
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A set's tokens for every part of its groups; in one part it is a member too."""
+        """A set's tokens as a query, for every part of its groups, and as a member of one part, for every block of queries."""
         memo = word_hashes()
         for part in slices(batches, 64):
             rows = []
             for text, sid, mine in zip(part["text"], part["set"], part["cells"]):
                 s = token_set(text, memo, n)
                 if set_id(s, threshold) == sid:  # a doc_id may come with other texts too
-                    rows += [(c["leader"], p, sid, p == c["home"], s.tobytes()) for c in mine for p in range(c["parts"])]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()))], ["leader", "part", "set", "member", "tokens"])
+                    for c in mine:
+                        rows += [(c["leader"], p, c["block"], sid, p == c["home"], True, s.tobytes()) for p in range(c["parts"])]
+                        rows += [(c["leader"], c["home"], b, sid, True, False, s.tobytes()) for b in range(c["blocks"]) if b != c["block"]]
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["leader", "part", "block", "set", "member", "query", "tokens"])
 
     texts = _texts(docs)
-    laid = texts.join(small_or_shuffled(wanted, 200_000), texts["doc_id"] == F.col("_doc")).select("text", "set", "cells").mapInArrow(lay, "leader long, part int, set long, member boolean, tokens binary")
+    laid = texts.join(small_or_shuffled(wanted, 200_000), texts["doc_id"] == F.col("_doc")).select("text", "set", "cells").mapInArrow(lay, "leader long, part int, block int, set long, member boolean, query boolean, tokens binary")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, members_, queries_, last = None, [], [], None
@@ -259,25 +263,22 @@ def set_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tupl
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "jaccard"])
 
         for part in slices(batches):
-            for lead, p, s, member, tok in zip(part["leader"], part["part"], part["set"], part["member"], part["tokens"]):
-                if (lead, p) != key:
+            for lead, p, b, s, member, query, tok in zip(part["leader"], part["part"], part["block"], part["set"], part["member"], part["query"], part["tokens"]):
+                if (lead, p, b) != key:
                     if queries_:
                         yield result()
-                    key, members_, queries_, last = (lead, p), [], [], None
+                    key, members_, queries_, last = (lead, p, b), [], [], None
                 if s == last:
                     continue
                 last, tokens = s, np.frombuffer(tok, np.uint64)
-                # members come first, and are queries as well
-                if member:
+                if member:  # these come first
                     members_.append((s, tokens))
-                queries_.append((s, tokens))
-                if not member and len(queries_) >= 4096:
-                    yield result()
-                    queries_ = []
+                if query:
+                    queries_.append((s, tokens))
         if queries_:
             yield result()
 
-    ordered = laid.repartition(width, "leader", "part").sortWithinPartitions("leader", "part", F.desc("member"), "set")
+    ordered = laid.repartition(width, "leader", "part", "block").sortWithinPartitions("leader", "part", "block", F.desc("member"), "set")
     pairs = ordered.mapInArrow(verify, "a long, b long, jaccard double").groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
     return pairs, members
 
