@@ -98,8 +98,17 @@ def frequent_tokens(docs: DataFrame, n: int) -> np.ndarray:
             yield flush()
 
     counted = _texts(docs).select("text").mapInArrow(count, "token long, times long")
-    top = counted.groupBy("token").agg(F.sum("times").alias("times")).where(F.col("times") >= OFTEN).orderBy(F.desc("times"), "token").limit(MOST)
-    return np.sort(top.select("token").toArrow()["token"].to_numpy().astype(np.int64).view(np.uint64))
+    often = cut(counted.groupBy("token").agg(F.sum("times").alias("times")).where(F.col("times") >= OFTEN).withColumn("level", F.floor(4 * F.log2("times")).cast("int")))
+    # the most frequent levels that stay within MOST tokens; no sort, and no task that gathers candidates of all others
+    level, held = None, 0
+    for r in sorted(often.groupBy("level").count().collect(), key=lambda r: -r["level"]):
+        held += r["count"]
+        if held > MOST:
+            break
+        level = r["level"]
+    if level is None:
+        return np.zeros(0, np.uint64)
+    return np.sort(often.where(F.col("level") >= level).select("token").toArrow()["token"].to_numpy().astype(np.int64).view(np.uint64))
 
 
 def _postings(docs: DataFrame, n: int, t: float, frequent: np.ndarray, width: int) -> DataFrame:
