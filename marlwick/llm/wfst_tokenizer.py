@@ -22,6 +22,7 @@ import functools
 import os
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -105,20 +106,31 @@ class Transducer:
         self.halves = {} if self.v.unigram else {p: h for p in self.rank if (h := self._last_merge(p))}
         self.beside = Memo(lambda pair: self._stands(*pair), 200_000)
         self.runs: dict[int, list[int]] = {}
-        # arcs out of a place: the longest piece by its first characters, and from each piece the next shorter one
+        # arcs out of a place: the longest piece by its first four characters, and from each piece the next shorter one
         self.reach: dict[str, int] = {}
         usable = self.v.ids if self.v.unigram else {p for p in self.v.ids if len(p) == 1 or p in self.halves}
         self.usable = usable
         for p in usable:
-            self.reach[p[:2]] = max(len(p), self.reach.get(p[:2], 0))
+            if len(p) > 3:
+                self.reach[p[:4]] = max(len(p), self.reach.get(p[:4], 0))
         self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in usable), p[:1] if len(p) > 1 else "") for p in usable}
         self.unknown = min((s for s, k in zip(self.v.scores, self.v.kinds) if k == NORMAL), default=0.0) - 10
         self.inner_breaks = not any("\n" in p for p in self.v.ids)
         # a word's ids, packed, with and without the space before it
-        self.words, self.bare = Memo(lambda w: self._packed(SPACE + w), 400_000), Memo(self._packed, 50_000)
+        self.words, self.bare = Memo(self._word, 400_000), Memo(self._packed, 50_000)
 
     def _packed(self, text: str) -> bytes:
-        return np.array(self.chunk(text), np.int32).tobytes()
+        return array("i", self.chunk(text)).tobytes()
+
+    def _word(self, text: str) -> bytes:
+        """Packed ids of a word after one space."""
+        if self.v.unigram:
+            return self._packed(SPACE + text)
+        symbols, ids = self._ranked(SPACE + text), self.v.ids
+        try:
+            return array("i", [ids[s] for s in symbols]).tobytes()
+        except KeyError:
+            return array("i", [i for s in symbols for i in self._ids(s)]).tobytes()
 
     def _merged(self, text: str) -> list[str]:
         """The symbols that the ranked merges leave: best score first, leftmost of equals."""
@@ -171,8 +183,7 @@ class Transducer:
         n, at, last, dead = len(text), 0, "", set()
         usable, reach, beside, shorter = self.usable, self.reach, self.beside, self.shorter
         while at < n:
-            end = at + reach.get(text[at : at + 2], 1)
-            arc = text[at:end]
+            arc = text[at : at + reach.get(text[at : at + 4], 3)]
             while len(arc) > 1 and arc not in usable:
                 arc = arc[:-1]
             while True:
