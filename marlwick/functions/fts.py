@@ -153,7 +153,7 @@ def phrase(doc: str, is_vector: bool, text: str, gap: int) -> str:
     def places(t):
         if is_vector:
             return f"coalesce(try_element_at(transform(filter(k, e -> e.term = {quoted(t)}), e -> e.positions), 1), array())"
-        return f"transform(filter(transform(k, (w, i) -> struct(w AS w, i + 1 AS i)), e -> e.w = {quoted(t)}), e -> e.i)"
+        return f"filter(transform(k, (w, i) -> if(w = {quoted(t)}, i + 1, NULL)), p -> p IS NOT NULL)"
 
     terms = phrase_terms(text)
     ends = places(terms[0])
