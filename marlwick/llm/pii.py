@@ -40,6 +40,7 @@ _CARD = re.compile(r"(?<![\w.+\-])(?:\d{4}([ \-])\d{4}\1\d{4}\1\d{1,7}|3\d{3}([
 _SSN = re.compile(r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])")
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 _DIGIT = re.compile(r"[0-9]")
+_WORD = re.compile(r"\w+")
 
 NAMES = {
     ("latin", "f"): "Abigail Adriana Alexandra Amelia Andrea Angela Barbara Beatriz Camille Carmen Caroline Catherine Charlotte Christine Claudia Deborah Diana Dorothy Eleanor Elizabeth Emily Emma Fernanda Florence Francesca Gabriela Hannah Helen Isabella Jennifer Jessica Johanna Karen Katharina Laura Linda Lucia Margaret Maria Martha Mary Michelle Natalie Olivia Patricia Rachel Rebecca Sarah Sophie Susan Teresa Valentina Victoria".split(),
@@ -73,7 +74,7 @@ def entities(text: str | None) -> list[tuple[int, int, str]]:
         for kind, pattern in (("card", _CARD), ("phone", _PHONE), ("ip", _IP), ("ssn", _SSN)):
             found += [(*m.span(), kind) for m in pattern.finditer(text)]
         found += [(*m.span(), "iban") for m in _IBAN.finditer(text) if _iban_valid(m[0])]
-    if not _FIRST.isdisjoint(text.split()):
+    if not _FIRST.isdisjoint(_WORD.findall(text)):  # a first name of _FULL is a whole run of word characters
         known: dict[str, str] = {}
         for script, pattern in _FULL.items():
             for m in pattern.finditer(text):

@@ -207,6 +207,12 @@ def test_surrogates_keep_form_and_reference():
     assert card[0] == "4" and int(card[-1]) == s._luhn(card[:-1]) and pii._iban_valid(spell["GB82 WEST 1234 5698 7654 32"])
 
 
+@pytest.mark.parametrize("text", ['"John Smith left, and Smith paid.', "(John Smith)", "by:John Smith", "Jean-Paul Smith", "«Мария Иванова»"])
+def test_names_behind_punctuation(text):
+    out, n = pii.Surrogates("k").replace(text)
+    assert n >= 2 and not re.search("John|Paul|Smith|Мария|Иванова", out)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.sets(st.integers(0, 999), min_size=2, max_size=40), st.integers(2, 1000))
 def test_permutations_are_bijections_without_fixed_points(numbers, size):
