@@ -9,8 +9,8 @@ the threshold is the highest that still keeps RECALL of the held-out secrets.
 
 The network and its threshold depend on no table and are the same everywhere.  All texts are scanned whole.
 
-Defined cases: null and empty texts have no findings.  Candidates never overlap: of two that do, the one that starts first,
-then the longer, stands.  Rows are independent; a repeated row repeats its findings.  Offsets count characters.
+Defined cases: null and empty texts have no findings.  Findings never overlap: of two candidates that do, the one that starts
+first, then the longer, is judged first, and the other if that one is no secret.  Rows are independent; a repeated row repeats its findings.  Offsets count characters.
 """
 
 from __future__ import annotations
@@ -33,12 +33,14 @@ REDACTED = "[SECRET]"
 
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_\-])[A-Za-z+/_\-]*[0-9][A-Za-z0-9+/_\-]*={0,2}")
 _VALUE = re.compile(r"[:=][ \t]*[\"'`]?([^\s\"'`,;]{6,})")
+_PARAMETER = re.compile(r"[^&#]{6,}")
+_SEPARATOR = re.compile(r"[:=]")
 _NAME = re.compile(r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_\-]?key|access[_\-]?key|auth\w*|credentials?|bearer)[\"'`\])]{0,2}[ \t]*$", re.I)
 _BLOCK = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(?:-----END [A-Z ]*PRIVATE KEY-----|\Z)", re.S)
 
 
-def candidates(text: str | None) -> list[tuple[int, int]]:
-    """(start, end) of every candidate, in order, without overlaps."""
+def _places(text: str | None) -> list[tuple[int, int]]:
+    """(start, end) of all that could be a credential, in order; some hold others, as a URL holds the token in it."""
     if not text:
         return []
     found = []
@@ -46,17 +48,31 @@ def candidates(text: str | None) -> list[tuple[int, int]]:
         a, b = m.span()
         if b - a >= 12 and not m[0].strip("+/_-=").isdigit() and any(map(str.isalpha, m[0])):
             found.append((a, b))
-    if "=" in text or ":" in text:
-        found += [m.span(1) for m in _VALUE.finditer(text) if _NAME.search(text, max(0, m.start() - 32), m.start())]
+    # the name first, then its value: a value of no name, or of another one, may hold a named one
+    for p in map(re.Match.start, _SEPARATOR.finditer(text)):
+        if _NAME.search(text, max(0, p - 32), p) and (m := _VALUE.match(text, p)):
+            found.append(m.span(1))
+            # within a URL the value ends at the next parameter, in a password & and # are characters: both are judged
+            if (cut := _PARAMETER.match(text, *m.span(1))) and cut.end() < m.end():
+                found.append(cut.span())
     if "-----BEGIN " in text:
         found += [m.span() for m in _BLOCK.finditer(text)]
+    return sorted(set(found), key=lambda x: (x[0], -x[1]))
+
+
+def _apart(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
-    for a, b in sorted(set(found), key=lambda x: (x[0], -x[1])):
+    for a, b in places:
         if not out or a >= out[-1][1]:
             out.append((a, b))
     return out
 
 
+def candidates(text: str | None) -> list[tuple[int, int]]:
+    """(start, end) of every candidate that is judged first, in order, without overlaps."""
+    return _apart(_places(text))
+
+
 # --- labelled findings
 
 
@@ -93,6 +109,7 @@ def labelled(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, str, str, i
         lambda: (pick(["aws_secret_access_key=", "secret: ", "AWS_SECRET_ACCESS_KEY=\""]), b64(30), pick(["", "\""])),
         lambda: (pick(["", "token ", "use "]), pick(["ghp_", "gho_", "sk_live_", "sk-", "xoxb-", "glpat-", "npm_", "hf_"]) + chars(alnum, int(r.integers(20, 40))), ""),
         lambda: (pick(["Authorization: Bearer ", "bearer ", "jwt="]), "eyJ" + chars(alnum, 17) + pick(["", "_", "-"]) + chars(alnum + "_-", int(r.integers(20, 90))), ""),
+        lambda: (pick(["https://", "http://", "GET /", "see https://www."]) + word() + pick([".io/", ".com/", ".example.org/", "/"]) + word() + pick(["?", "?", "?id=1&", "?u=" + word() + "&"]) + pick(["token", "api_key", "access_token", "auth", "secret", "password", "pwd"]) + "=", chars(pick([hexa, alnum, alnum, alnum + "!$%*@"]), int(r.integers(6, 33))), pick(["", "", "&" + word() + "=1", "&lang=en", "#" + word()])),
         lambda: ("", "-----BEGIN " + pick(["RSA ", "EC ", "OPENSSH ", ""]) + "PRIVATE KEY-----\n" + b64(int(r.integers(60, 300))) + "\n-----END PRIVATE KEY-----", ""),
     ]
     plain_formats = [
@@ -235,12 +252,29 @@ def network(n: int = FINDINGS, seed: int = SEED) -> Network:
 
 def findings(texts: list[str | None], net: Network) -> list[list[tuple[int, int, float]]]:
     """(start, end, score) of the secrets of each text."""
-    spans = [(i, a, b) for i, text in enumerate(texts) for a, b in candidates(text)]
-    scores = net.scores([(texts[i][max(0, a - CONTEXT) : a], texts[i][a:b], texts[i][b : b + CONTEXT]) for i, a, b in spans])
+    left = [_places(text) for text in texts]
     out: list[list[tuple[int, int, float]]] = [[] for _ in texts]
-    for (i, a, b), s in zip(spans, scores.tolist()):
-        if s >= net.threshold:
-            out[i].append((a, b, s))
+    while any(left):
+        spans = [(i, a, b) for i, places in enumerate(left) for a, b in _apart(places)]
+        scores = net.scores([(texts[i][max(0, a - CONTEXT) : a], texts[i][a:b], texts[i][b : b + CONTEXT]) for i, a, b in spans])
+        judged: list[dict[tuple[int, int], bool]] = [{} for _ in texts]
+        for (i, a, b), s in zip(spans, scores.tolist()):
+            judged[i][a, b] = s >= net.threshold
+            if judged[i][a, b]:
+                out[i].append((a, b, s))
+        # what only overlaps refused ones is judged next
+        left = [_beside([x for x in places if x not in done], [x for x, secret in done.items() if secret]) for places, done in zip(left, judged)]
+    return [sorted(found) for found in out]
+
+
+def _beside(places: list[tuple[int, int]], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Those of places that overlap none of taken; both are in order, and taken are apart."""
+    out, k = [], 0
+    for a, b in places:
+        while k < len(taken) and taken[k][1] <= a:
+            k += 1
+        if k == len(taken) or b <= taken[k][0]:
+            out.append((a, b))
     return out
 
 

@@ -305,6 +305,15 @@ def test_candidates_are_whole_and_apart():
     assert text[slice(*spans[0])] == key and text[slice(*spans[1])].startswith("-----BEGIN") and len(spans) == 2
 
 
+@pytest.mark.parametrize("text, secret", [("note: password=Xk!9$wq", "Xk!9$wq"), ("https://h.io/x?token=ab12cd34&y=1", "ab12cd34"), ("url:user=ann;x=https://h.io/?u=1&pwd=q7!Zr$2k", "q7!Zr$2k"), ("token: https://h.io/a?token=Xk!9$wq8", "Xk!9$wq8")])
+def test_named_values_inside_other_values(text, secret):
+    at = text.index(secret)
+    assert any(text[a:b].startswith(secret) for a, b in secret_scan._places(text))
+    found = secret_scan.findings([text], secret_scan.network())[0]
+    assert any(a <= at and at + len(secret) <= b for a, b, _ in found)
+    assert secret not in secret_scan.redact(text, found)
+
+
 # --- 7: fixity
 
 
