@@ -234,12 +234,14 @@ def set_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tupl
     members = found.where("kind = 1").select(F.col("a").alias("set"), F.col("b").alias("doc_id"))
     nearest = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("times"), "b"))
     ties = found.where("kind = 0").withColumn("n", nearest).where(f"{enough} OR n <= {NEAREST}").select(F.col("a").alias("set"), F.col("b").alias("leader"))
-    # Leaders follow their own least leader, twice, so that the groups of one crowd fall together.
+    # Leaders follow their own least leader, twice, so that the groups of one crowd fall together.  The ties themselves stay beside
+    # that: sets and leaders that are not of one crowd would be moved apart.
     above = ties.groupBy(F.col("set").alias("leader")).agg(F.min("leader").alias("up"))
     led = ties
     for _ in range(2):
         led = led.join(above, "leader", "left").select("set", F.least("leader", "up").alias("leader"))
-    cells = led.union(led.select("leader", "leader")).union(ties.select("leader").distinct().join(above, "leader").select(F.col("leader").alias("set"), F.col("up").alias("leader")))
+    cells = led.union(ties)
+    cells = cells.union(cells.select("leader", "leader"))
     cells = cut(cells.distinct())
     size = cells.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).where(f"n > {GROUP}").select("leader", F.ceil(F.col("n") / GROUP).cast("int").alias("parts"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     cells = cells.join(size, "leader", "left").select("set", "leader", F.coalesce("parts", F.lit(1)).alias("parts"), F.coalesce("blocks", F.lit(1)).alias("blocks"))

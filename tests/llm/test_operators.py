@@ -82,6 +82,26 @@ def test_jaccard_recall_in_crowds(spark, monkeypatch, t, split):
     assert len(distinct & set(got)) >= 0.9 * len(distinct)
 
 
+def test_pairs_whose_passages_lead_elsewhere(spark):
+    """Documents share passages with others; a partner has a document's own words alone, and no other tie."""
+    r = random.Random(1)
+    many = [f"w{i}" for i in range(30000)]
+
+    def own(n):
+        return [r.choice(many) for _ in range(n)]
+
+    passages, texts = [own(r.randint(22, 52)) for _ in range(100)], {}
+    for _ in range(400):
+        mine, ps = own(r.randint(40, 70)), [r.choice(passages) for _ in range(r.randint(1, 4))]
+        texts[len(texts)] = " ".join(sum(ps, []) + mine)
+        if r.random() < 0.5:
+            texts[len(texts)] = " ".join(mine + own(r.randint(0, 6)))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {(x.doc_id_a, x.doc_id_b) for x in jaccard_join.jaccard_join(df).collect()}
+    want = set(brute_pairs(texts, 3, 0.5))
+    assert len(want) > 50 and got == want
+
+
 def test_one_of_each_group_stays(spark, data):
     texts = texts_of(spark, data)
     kept = {r.doc_id for r in jaccard_join.drop_near_duplicates(documents(spark, data)).collect()}
