@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -93,6 +94,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def table(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder, for what would be large as a checkpoint.  It goes when the application ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 #: A side is broadcast up to so many rows of a long or two (some 32 MB); beyond that the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
@@ -102,8 +113,15 @@ def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
-def shuffle_width(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: Bytes of Parquet for each of which operators that sort a shuffle partition in Python make a partition at least.
+WIDTH_BYTES = 16 << 20
+
+
+def shuffle_width(df: DataFrame) -> int:
+    """Shuffle partitions for what is made of df: as many as the session sets, or more if the input asks for them."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    needed = size // WIDTH_BYTES if size < 1 << 52 else 0  # a plan without statistics claims more than that
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), needed)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -1,19 +1,24 @@
 """N-gram Jaccard join by a token-group matrix.
 
-Documents are sets of word n-grams.  Similar sets are put into groups; of each group the union of its tokens is kept (its row
-of the token-group matrix).  The overlap of a query with that union bounds its Jaccard index with every other member, so only
-groups whose bound reaches the threshold are opened, and their members compared exactly.  Every set is a query.
+Documents are sets of word n-grams.  Similar sets are put into groups, and of each group the union of its tokens is kept as its
+row of the token-group matrix.  Every set is a query.  Its overlap with a group's row bounds its overlap with every member, so
+only groups whose bound reaches what the threshold asks for are opened, and there members are compared exactly.
 
-Which cells of the matrix can be other than hopeless is found without visiting the rest: with tokens in one global order, two
-sets of Jaccard index t or more share k of their first len - ceil(t * len) + k tokens, for any k up to ceil(t * len).  The
-order puts frequent tokens last; that serves speed alone.  All sets that have a prefix token are tied to the least of them, the
-leader; a set belongs to the groups of the leaders with which it shares k prefix tokens, and of its nearest leaders.  Two sets
-alone always meet so.  In a crowd of copies, two meet through any leader that both resemble; this step, linear in the copies,
-is the only one that could miss a pair, and the tests hold it against brute force.
+The matrix holds prefixes.  With tokens in one global order, two sets of Jaccard index t or more share k of their first
+len - ceil(t * len) + k tokens, for any k up to ceil(t * len) of either.  A row is the union of its members' prefixes, and a
+query overlaps it in k places at least if it is similar to a member.  So no pair can be missed, whatever the order and
+whatever the groups; an order that puts frequent tokens last, and groups of like sets, only make for few openings.  Before
+members are compared, the query is held against the union of their whole sets.
+
+Groups: all sets with a prefix token are tied to the least of them; a set joins the one it has the most ties with, if these are
+k at least, and that one's group in turn.  A large group gets a pivot, the member with the most shared tokens.  Jaccard
+distance is a metric, so members within (1 - t) / 2 of the pivot are all similar to one another and need no comparing; only
+the others are queries.  Nothing that is emitted, shuffled or gathered is by pairs.
 
 Defined cases: words are lower-cased runs between white space.  A text of fewer than n words is one token.  Null and empty
-texts have no tokens and are similar to nothing.  Rows without doc_id can't be named in a pair and take no part.  Rows that
-repeat a doc_id never pair with themselves.  Columns besides doc_id and text are ignored, whatever their names.
+texts have no tokens and are similar to nothing.  Rows without doc_id can't be named and take no part.  Rows that repeat a
+doc_id with one text are one document; a doc_id with several texts has the links of all of them together and the least of
+their classes.  Sets are told apart by 61-bit hashes.  Columns besides doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,22 +29,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hashed, lean, ngram_hashes, shuffle_width, slices, small_or_shuffled, word_hashes, words_of
+from .common import cut, hashed, lean, ngram_hashes, shuffle_width, slices, small_or_shuffled, table, word_hashes, words_of
 
 N, THRESHOLD = 3, 0.5
 #: Tokens whose order is pushed back: seen LOCAL times in a part and OFTEN times in all, at most MOST of them (8 MB).  They
-#: change which pairs are looked at, never which are found.
+#: change which groups are opened, never what is found.
 LOCAL, OFTEN, MOST = 2, 12, 1_000_000
+#: A token of more sets than this is handled in as many tasks as it has times so many.
+HOT = 1_000_000
 #: Prefix tokens that candidates must share (k above, less for small sets); a power of two.  More are more selective.
 SHARED = 8
-#: Two members of a crowd may be alike and yet less like its leader; so the strongest few ties count from less tokens on.
-WEAK, NEAREST = 3, 2
-#: Members of a group; a larger one is split, and each query then meets every part of it.  Queries come in blocks, so that no task
-#: reads more than one part and one block at a time.
-GROUP, BLOCK = 1024, 4096
+#: Members, and tokens of them, that a task compares at once; larger groups come in parts, and each query meets every part.
+GROUP, PART_TOKENS = 1024, 1 << 20
+#: Likewise for the queries of a group, which come in blocks.
+BLOCK, BLOCK_TOKENS = 4096, 1 << 22
 
 
 def token_set(text: str | None, memo, n: int) -> np.ndarray:
@@ -75,8 +81,8 @@ def _texts(docs: DataFrame) -> DataFrame:
     return lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
 
 
-def frequent_tokens(docs: DataFrame, n: int) -> np.ndarray:
-    """Sorted hashes of the most frequent tokens of the whole corpus."""
+def frequent_tokens(docs: DataFrame, n: int) -> tuple[np.ndarray, dict[int, int]]:
+    """Sorted hashes of the most frequent tokens of the whole corpus; of the hot ones, into how many tasks they go."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, held, seen = word_hashes(), [], 0
@@ -107,207 +113,294 @@ def frequent_tokens(docs: DataFrame, n: int) -> np.ndarray:
             break
         level = r["level"]
     if level is None:
-        return np.zeros(0, np.uint64)
-    return np.sort(often.where(F.col("level") >= level).select("token").toArrow()["token"].to_numpy().astype(np.int64).view(np.uint64))
+        return np.zeros(0, np.uint64), {}
+    top = often.where(F.col("level") >= level)
+    hot = {r["token"] % (1 << 64): -(-r["times"] // HOT) for r in top.where(F.col("times") > HOT).collect()}
+    return np.sort(top.select("token").toArrow()["token"].to_numpy().astype(np.int64).view(np.uint64)), hot
+
+
+#: One row for a shuffle partition, a residue of tokens and a part of the documents: sets, how many keys each has, the keys; and
+#: sets, documents and numbers of tokens.
+PACKED = "pid int, residue int, owners binary, counts binary, keys binary, sets binary, docs binary, sizes binary"
 
 
-def _postings(docs: DataFrame, n: int, t: float, frequent: np.ndarray, width: int) -> DataFrame:
-    """Rows (pid, body): for shuffle partition pid, packed prefix tokens with the sets that they are of, and (set, doc) rows."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+def _postings(docs: DataFrame, n: int, t: float, frequent: np.ndarray, hot: dict[int, int], width: int) -> DataFrame:
+    """PACKED rows of all prefix tokens with the sets that they are of, and of all sets with their documents."""
+    shared = docs.sparkSession.sparkContext.broadcast((frequent, np.array(sorted(hot), np.uint64), np.array([hot[x] for x in sorted(hot)], np.uint64)))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, late = word_hashes(), shared.value
-        tokens, counts, sets, ids, held = [], [], [], [], 0
+        memo, (late, hottest, tasks) = word_hashes(), shared.value
+        tokens, counts, sets, ids, sizes, held = [], [], [], [], [], 0
 
         def flush():
-            # Of a token, the shuffle partition is told by some bits, and a key of 32 other bits tells it from others there.
-            # Keys that coincide bring a hopeless candidate now and then.
-            sid, doc, count = np.array(sets, np.int64), np.array(ids, np.int64), np.array(counts)
-            tok, of = np.concatenate(tokens), np.repeat(np.arange(len(sid)), count)
-            pid, key = (tok % np.uint64(width)).astype(np.int64), (tok >> np.uint64(32)).astype(np.uint32)
-            order = np.argsort(pid * len(sid) + of, kind="stable")
-            pid, of, key = pid[order], of[order], key[order]
-            cell = np.flatnonzero(np.append(True, (pid[1:] != pid[:-1]) | (of[1:] != of[:-1])))
-            long = np.diff(np.append(cell, len(pid))).astype(np.uint32)
-            cells, keys = np.searchsorted(pid[cell], np.arange(width + 1)), np.searchsorted(pid, np.arange(width + 1))
-            owner = sid[of[cell]]
-            home = (sid.view(np.uint64) % np.uint64(width)).astype(np.int64)
+            # A token's residue and 32 other bits tell it from others.  Tokens that coincide bring a hopeless candidate now and then.
+            sid, doc, long = np.array(sets, np.int64), np.array(ids, np.int64), np.array(sizes, np.int32)
+            tok, of = np.concatenate(tokens), np.repeat(np.arange(len(sid)), np.array(counts))
+            residue = (tok % np.uint64(width)).astype(np.int64)
+            pid, key = residue.copy(), (tok >> np.uint64(32)).astype(np.uint32)
+            if len(hottest):
+                at = np.minimum(np.searchsorted(hottest, tok), len(hottest) - 1)
+                i = np.flatnonzero(hottest[at] == tok)
+                pid[i] = (pid[i] + (sid[of[i]].view(np.uint64) // np.uint64(SHARED) % tasks[at[i]]).astype(np.int64)) % width
+            order = np.lexsort((of, residue, pid))
+            pid, residue, of, key = pid[order], residue[order], of[order], key[order]
+            apart = np.append(True, (pid[1:] != pid[:-1]) | (residue[1:] != residue[:-1]))
+            row = np.flatnonzero(apart)
+            cell = np.flatnonzero(apart | np.append(True, of[1:] != of[:-1]))
+            each, owner = np.diff(np.append(cell, len(pid))).astype(np.uint32), sid[of[cell]]
+            ends, cells = np.append(row, len(pid)), np.append(np.searchsorted(cell, row), len(cell))
+            none = np.zeros(0).tobytes()
+            out = [(int(pid[r]), int(residue[r]), owner[cells[i] : cells[i + 1]].tobytes(), each[cells[i] : cells[i + 1]].tobytes(), key[ends[i] : ends[i + 1]].tobytes(), none, none, none) for i, r in enumerate(row)]
+            home = (sid.view(np.uint64) // np.uint64(SHARED) % np.uint64(width)).astype(np.int64)
             order = np.argsort(home, kind="stable")
-            sid, doc = sid[order], doc[order]
-            homes = np.searchsorted(home[order], np.arange(width + 1))
-            out = [(p, *(x[at[p] : at[p + 1]].tobytes() for x, at in ((owner, cells), (long, cells), (key, keys), (sid, homes), (doc, homes)))) for p in range(width) if keys[p + 1] > keys[p] or homes[p + 1] > homes[p]]
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), *(pa.array([x[i] for x in out], pa.binary()) for i in range(1, 6))], PACKED.replace(",", "").split()[::2])
+            home, sid, doc, long = home[order], sid[order], doc[order], long[order]
+            at = np.append(np.flatnonzero(np.append(True, home[1:] != home[:-1])), len(home))
+            out += [(int(home[a]), 0, none, none, none, sid[a:b].tobytes(), doc[a:b].tobytes(), long[a:b].tobytes()) for a, b in zip(at, at[1:])]
+            kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 6]
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)], PACKED.replace(",", "").split()[::2])
 
         for part in slices(batches):
             for doc, text in zip(part["doc_id"], part["text"]):
                 s = token_set(text, memo, n)
                 if len(s):
                     p = prefix(s, t, late)
-                    tokens.append(p), counts.append(len(p)), sets.append(set_id(s, t)), ids.append(doc)
+                    tokens.append(p), counts.append(len(p)), sets.append(set_id(s, t)), ids.append(doc), sizes.append(len(s))
                     held += len(p)
             if held > 1_500_000:
                 yield flush()
-                tokens, counts, sets, ids, held = [], [], [], [], 0
+                tokens, counts, sets, ids, sizes, held = [], [], [], [], [], 0
         if ids:
             yield flush()
 
     return _texts(docs).mapInArrow(emit, PACKED)
 
 
-#: One row for a shuffle partition and a part of the documents: sets, how many keys each has here, the keys; sets and documents.
-PACKED = "pid int, owners binary, counts binary, keys binary, sets binary, docs binary"
-
-
-def _counted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct pairs, and how often each comes."""
-    if not len(a):
-        return a, b, a
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-    return a[first], b[first], np.diff(np.append(first, len(a)))
-
-
-def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From one shuffle partition: sets, their leaders, and how many prefix tokens tie them here (kind 0), and each document with
-    its set (kind 1)."""
-    own, tok, sid, doc = [], [], [], []
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From one shuffle partition: (0, token, set, leader) for each token that several sets have, the leader being the least of
+    them here, and (1, set, document, number of tokens)."""
+    own, tok, sid, doc, long = [], [], [], [], []
     for b in batches:
-        for owners, counts, keys, sets, ids in zip(*(b.column(i).to_pylist() for i in range(1, 6))):
+        for residue, owners, counts, keys, sets, ids, sizes in zip(*(b.column(i).to_pylist() for i in range(1, 8))):
             own.append(np.repeat(np.frombuffer(owners, np.int64), np.frombuffer(counts, np.uint32)))
-            tok.append(np.frombuffer(keys, np.uint32)), sid.append(np.frombuffer(sets, np.int64)), doc.append(np.frombuffer(ids, np.int64))
+            tok.append(np.frombuffer(keys, np.uint32).astype(np.int64) << 31 | residue)
+            sid.append(np.frombuffer(sets, np.int64)), doc.append(np.frombuffer(ids, np.int64)), long.append(np.frombuffer(sizes, np.int32))
     if not tok:
         return
 
-    def rows(kind, a, b, times):
+    def rows(kind, a, b, c):
         for at in range(0, len(a), 1_000_000):
             x = a[at : at + 1_000_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int32)), pa.array(x), pa.array(b[at : at + 1_000_000]), pa.array(times[at : at + 1_000_000])], ["kind", "a", "b", "times"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int32)), pa.array(x), pa.array(b[at : at + 1_000_000]), pa.array(c[at : at + 1_000_000].astype(np.int64))], ["kind", "a", "b", "c"])
 
-    sid, doc = np.concatenate(sid), np.concatenate(doc)
-    yield from rows(1, sid, doc, np.ones(len(sid), np.int64))
-    del sid, doc
+    yield from rows(1, np.concatenate(sid), np.concatenate(doc), np.concatenate(long))
+    del sid, doc, long
     tok, own = np.concatenate(tok), np.concatenate(own)
-    if not len(tok):
-        return
+    order = np.argsort(tok, kind="stable")
+    tok, own = tok[order], own[order]
+    head = np.append(True, tok[1:] != tok[:-1]) if len(tok) else np.zeros(0, bool)
+    first = np.flatnonzero(head)
+    many = np.diff(np.append(first, len(tok))) > 1
+    keep = np.repeat(many, np.diff(np.append(first, len(tok))))
+    tok, own = tok[keep], own[keep]
     order = np.lexsort((own, tok))
     tok, own = tok[order], own[order]
-    head = np.append(True, tok[1:] != tok[:-1])
-    leader = own[np.flatnonzero(head)][np.cumsum(head) - 1]
-    # each set once for a token, and no set with itself
-    tied = (leader != own) & np.append(True, (tok[1:] != tok[:-1]) | (own[1:] != own[:-1]))
-    yield from rows(0, *_counted(own[tied], leader[tied]))
-
-
-def open_group(members: list[tuple[int, np.ndarray]], queries: list[tuple[int, np.ndarray]], t: float) -> list[tuple[int, int, float]]:
-    """Pairs (member, query, Jaccard index), the lesser first, of the queries and the members of lesser identity at or above t."""
-    ids = np.array([i for i, _ in members], np.int64)
-    sizes = np.array([len(s) for _, s in members])
-    flat, of = np.concatenate([s for _, s in members]), np.repeat(np.arange(len(members)), sizes)
+    if len(tok):
+        # each set once for a token: rows may repeat
+        fresh = np.append(True, (tok[1:] != tok[:-1]) | (own[1:] != own[:-1]))
+        tok, own = tok[fresh], own[fresh]
+        head = np.append(True, tok[1:] != tok[:-1])
+        first = np.flatnonzero(head)
+        times = np.diff(np.append(first, len(tok)))
+        keep = np.repeat(times > 1, times)
+        yield from rows(0, tok[keep], own[keep], np.repeat(own[first], times)[keep])
+
+
+def _groups(posted: DataFrame) -> DataFrame:
+    """(set, grp) of the sets that join another's group; all others have a group of their own name.  Chains of sets that join
+    one another are followed four steps, which is enough for most and is not needed by any."""
+    ties = posted.where("set <> leader").groupBy("set", "leader").agg(F.count(F.lit(1)).alias("times"))
+    best = ties.where(f"times > least(set & {SHARED - 1}, leader & {SHARED - 1})").groupBy("set").agg(F.max(F.struct("times", F.expr("~leader").alias("l"))).alias("m"))
+    groups = cut(best.select("set", F.expr("~m.l").alias("grp")))
+    for _ in range(2):
+        up = groups.select(F.col("set").alias("grp"), F.col("grp").alias("up"))
+        groups = groups.join(up, "grp", "left").select("set", F.coalesce("up", "grp").alias("grp"))
+    return cut(groups)
+
+
+def _matrix(posted: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cells, pivots): (set, g, own) where the overlap of a set with the row of group g, its own or a lesser one, reaches k;
+    and (g, pivot), the member of g that has most of the tokens that are shared within it."""
+    placed = posted.join(groups, "set", "left").select("token", "set", F.coalesce("grp", "set").alias("grp"))
+    row = placed.groupBy("token", F.col("grp").alias("g")).agg(F.count(F.lit(1)).alias("holders"), F.min(F.expr(f"set & {SHARED - 1}")).alias("k"))
+    hits = placed.join(row, "token").where("g < grp OR g = grp AND holders > 1").groupBy("set", "grp", "g").agg(F.count(F.lit(1)).alias("overlap"), F.min("k").alias("k"), F.sum("holders").alias("popular"))
+    cells = cut(hits.where(f"overlap > least(set & {SHARED - 1}, k)").select("set", "g", F.expr("g = grp").alias("own"), "popular"))
+    pivots = cells.where("own").groupBy("g").agg(F.max(F.struct("popular", "set")).alias("m")).select("g", F.col("m.set").alias("pivot"))
+    return cells.drop("popular"), pivots
+
+
+def open_group(members: list[tuple[int, int, bool, np.ndarray]], queries: list[tuple[int, int, bool, np.ndarray]], t: float) -> list[tuple[int, int, int]]:
+    """(set, links, root) of the members and queries with a link among them: the number of documents of the sets that it is
+    similar to, and one set for all that are so connected.
+
+    Members are (set, number of documents, core, tokens) and queries (set, number of documents, own, tokens), own being whether
+    the query is of this group.  Of such, a pair of sets that are both queries counts for the lesser as the member."""
+    ids, weight = np.array([m[0] for m in members], np.int64), np.array([m[1] for m in members], np.int64)
+    core, sizes = np.array([m[2] for m in members]), np.array([len(m[3]) for m in members])
+    flat, of = np.concatenate([m[3] for m in members]), np.repeat(np.arange(len(members)), sizes)
     order = np.argsort(flat, kind="stable")
     flat, of = flat[order], of[order]
-    union, starts = np.unique(flat, return_index=True)  # the group's row of the token-group matrix
+    union, starts = np.unique(flat, return_index=True)  # the group's row of the token-group matrix, over whole sets
     lengths = np.diff(np.append(starts, len(flat)))
-    inside, out = set(ids.tolist()), []
-    for q, s in queries:
+    known = {s: i for i, s in enumerate(ids.tolist())}
+    extra = {s: len(known) + i for i, s in enumerate(q[0] for q in queries if q[0] not in known)}
+    name = np.concatenate([ids, np.array(list(extra), np.int64)])
+    links, root = np.zeros(len(name), np.int64), name.copy()
+    for q, many, own, s in queries:
         at = np.minimum(np.searchsorted(union, s), len(union) - 1)
         # the bound is the overlap with the others' tokens: those that a query in the group alone brought don't count
-        hit = at[(union[at] == s) & (lengths[at] > (q in inside))]
+        hit = at[(union[at] == s) & (lengths[at] > (q in known))]
         if len(hit) < overlap_needed(len(s), t):
             continue
         n = lengths[hit]
         picks = np.repeat(starts[hit] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
         common = np.bincount(of[picks], minlength=len(ids))
-        index = common / (sizes + len(s) - common)
-        out += [(int(ids[m]), q, float(index[m])) for m in np.flatnonzero((index >= t - 1e-12) & (ids < q))]
-    return out
+        alike = common >= t * (sizes + len(s) - common) - 1e-9
+        if own:
+            alike &= core | (ids < q)
+            if q in known:
+                alike[known[q]] = False
+        found = np.flatnonzero(alike)
+        if len(found):
+            me = known[q] if q in known else extra[q]
+            links[me] += weight[found].sum()
+            links[found] += many
+            joined = np.unique(np.append(root[found], root[me]))
+            root[np.isin(root, joined)] = joined[0]
+    return [(int(name[i]), int(links[i]), int(root[i])) for i in np.flatnonzero(links)]
+
+
+def _core(rows: DataFrame, n: int, t: float) -> DataFrame:
+    """(set,) of the rows (g, part, first, set, text), in which each part has its pivot first, that are within (1 - t) / 2 of it."""
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, key, pivot = word_hashes(), None, None
+        for part in slices(batches, 64):
+            out = []
+            for g, p, first, s, text in zip(part["g"], part["part"], part["first"], part["set"], part["text"]):
+                tokens = token_set(text, memo, n)
+                if set_id(tokens, t) != s:
+                    continue
+                if first:
+                    key, pivot = (g, p), tokens
+                elif key == (g, p):
+                    common = len(np.intersect1d(pivot, tokens, assume_unique=True))
+                    if common >= (1 + t) / 2 * (len(pivot) + len(tokens) - common) + 1e-6:
+                        out.append(s)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["set"])
+
+    return rows.mapInArrow(near, "set long")
 
 
-def set_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(pairs, members): pairs of distinct token sets (a < b, jaccard), and each set's documents (set, doc_id)."""
+def set_links(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(linked, sets): (set, links, root), with rows of one set to be added up and roots to be connected; and (set, first,
+    weight, size), each set's least document, number of documents and number of tokens, beside (set, doc_id) in members."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    width = shuffle_width(docs.sparkSession)
-    posted = _postings(docs, n, threshold, frequent_tokens(docs, n), width).repartitionById(width, "pid").mapInArrow(_ties, "kind int, a long, b long, times long")
-    enough = f"times > least(a & {SHARED - 1}, b & {SHARED - 1})"
-    found = cut(posted.groupBy("kind", "a", "b").agg(F.sum("times").alias("times")).where(f"kind = 1 OR times >= {WEAK} OR {enough}"))
-    members = found.where("kind = 1").select(F.col("a").alias("set"), F.col("b").alias("doc_id"))
-    nearest = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("times"), "b"))
-    ties = found.where("kind = 0").withColumn("n", nearest).where(f"{enough} OR n <= {NEAREST}").select(F.col("a").alias("set"), F.col("b").alias("leader"))
-    # Leaders follow their own least leader, twice, so that the groups of one crowd fall together.  The ties themselves stay beside
-    # that: sets and leaders that are not of one crowd would be moved apart.
-    above = ties.groupBy(F.col("set").alias("leader")).agg(F.min("leader").alias("up"))
-    led = ties
-    for _ in range(2):
-        led = led.join(above, "leader", "left").select("set", F.least("leader", "up").alias("leader"))
-    cells = led.union(ties)
-    cells = cells.union(cells.select("leader", "leader"))
-    cells = cut(cells.distinct())
-    size = cells.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).where(f"n > {GROUP}").select("leader", F.ceil(F.col("n") / GROUP).cast("int").alias("parts"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    cells = cells.join(size, "leader", "left").select("set", "leader", F.coalesce("parts", F.lit(1)).alias("parts"), F.coalesce("blocks", F.lit(1)).alias("blocks"))
-    home, block = F.expr("cast(pmod(xxhash64(set), parts) AS int)"), F.expr("cast(pmod(xxhash64(set, 1), blocks) AS int)")
-    wanted = members.join(cells.select("set").distinct(), "set", "left_semi").groupBy("set").agg(F.min("doc_id").alias("_doc"))
-    wanted = cut(wanted.join(cells.groupBy("set").agg(F.collect_list(F.struct("leader", "parts", "blocks", home.alias("home"), block.alias("block"))).alias("cells")), "set"))
-
-    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A set's tokens as a query, for every part of its groups, and as a member of one part, for every block of queries."""
-        memo = word_hashes()
-        for part in slices(batches, 64):
-            rows = []
-            for text, sid, mine in zip(part["text"], part["set"], part["cells"]):
-                s = token_set(text, memo, n)
-                if set_id(s, threshold) == sid:  # a doc_id may come with other texts too
-                    for c in mine:
-                        rows += [(c["leader"], p, c["block"], sid, p == c["home"], True, s.tobytes()) for p in range(c["parts"])]
-                        rows += [(c["leader"], c["home"], b, sid, True, False, s.tobytes()) for b in range(c["blocks"]) if b != c["block"]]
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["leader", "part", "block", "set", "member", "query", "tokens"])
+    width, (frequent, hot) = shuffle_width(docs), frequent_tokens(docs, n)
+    posted = table(_postings(docs, n, threshold, frequent, hot, width).repartitionById(width, "pid").mapInArrow(_shared, "kind int, a long, b long, c long"))
+    members = posted.where("kind = 1").select(F.col("a").alias("set"), F.col("b").alias("doc_id"), F.col("c").cast("int").alias("size")).distinct()
+    posted = posted.where("kind = 0").select(F.col("a").alias("token"), F.col("b").alias("set"), F.col("c").alias("leader"))
+    groups = _groups(posted)
+    cells, pivots = _matrix(posted, groups)
+    sets = members.groupBy("set").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("weight"), F.max("size").alias("size"))
+
+    # the members of every group that some query opens: those that joined it, and its name unless that joined another
+    opened = cells.select("g").distinct()
+    inside = groups.withColumnRenamed("grp", "g").join(opened, "g", "left_semi").select("set", "g")
+    alone = opened.join(groups.select(F.col("set").alias("g")), "g", "left_anti").select(F.col("g").alias("set"), "g")
+    inside = inside.union(alone)
+    involved = cells.select("set").union(inside.select("set")).distinct()
+    info = cut(sets.join(involved, "set"))
+
+    def split(rows: DataFrame, most: int, tokens: int, name: str) -> DataFrame:
+        sized = rows.join(info.select("set", "size"), "set").groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("s"))
+        return sized.select("g", F.greatest(F.ceil(F.col("m") / most), F.ceil(F.col("s") / tokens)).cast("int").alias(name))
 
     texts = _texts(docs)
-    laid = texts.join(small_or_shuffled(wanted, 200_000), texts["doc_id"] == F.col("_doc")).select("text", "set", "cells").mapInArrow(lay, "leader long, part int, block int, set long, member boolean, query boolean, tokens binary")
+
+    def with_text(rows: DataFrame) -> DataFrame:
+        """rows with the text of their set, which is that of its first document; other texts of that doc_id are told by the hash."""
+        rows = rows.join(info.select("set", F.col("first").alias("_doc")), "set")
+        return texts.join(small_or_shuffled(cut(rows), 200_000), texts["doc_id"] == F.col("_doc")).drop("doc_id", "_doc")
+
+    parts = split(inside, GROUP, PART_TOKENS, "parts")
+    large = cut(parts.where("parts > 1").join(pivots, "g"))
+    core = None
+    if not large.isEmpty():
+        home = F.expr("cast(pmod(xxhash64(set), parts) AS int)").alias("part")
+        rows = inside.join(large, "g").where("set <> pivot").select("g", home, F.lit(False).alias("first"), "set")
+        firsts = large.select("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("first"), F.col("pivot").alias("set"))
+        laid = with_text(rows.union(firsts)).repartition(width, "g", "part").sortWithinPartitions("g", "part", F.desc("first"), "set")
+        core = _core(laid, n, threshold).join(large.select(F.col("pivot").alias("set")), "set", "full").select("set").distinct()
+        core = cut(core.join(inside, "set").select("set", "g"))
+    inside = inside.join(core.withColumn("core", F.lit(True)), ["set", "g"], "left") if core is not None else inside.withColumn("core", F.lit(None).cast("boolean"))
+    inside = inside.select("set", "g", F.coalesce("core", F.lit(False)).alias("core"))
+    asked = cells if core is None else cells.join(core.withColumn("own", F.lit(True)), ["set", "g", "own"], "left_anti")
+    blocks = split(asked, BLOCK, BLOCK_TOKENS, "blocks")
+    shape = cut(parts.join(blocks, "g"))
+    all_parts, all_blocks = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    home, block = F.expr("cast(pmod(xxhash64(set), parts) AS int)"), F.expr("cast(pmod(xxhash64(set, 1), blocks) AS int)")
+    rows = inside.join(shape, "g").select("g", home.alias("part"), all_blocks.alias("block"), F.lit(True).alias("member"), "set", F.col("core").alias("flag"))
+    rows = rows.union(asked.join(shape, "g").select("g", all_parts.alias("part"), block.alias("block"), F.lit(False).alias("member"), "set", F.col("own").alias("flag")))
+    laid = with_text(rows.join(info.select("set", "weight"), "set"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, members_, queries_, last = None, [], [], None
+        memo, key, inside, asking, last = word_hashes(), None, [], [], None
 
         def result():
-            out = open_group(members_, queries_, threshold) if members_ else []
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "jaccard"])
+            out = open_group(inside, asking, threshold) if inside else []
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], ["set", "links", "root"])
 
-        for part in slices(batches):
-            for lead, p, b, s, member, query, tok in zip(part["leader"], part["part"], part["block"], part["set"], part["member"], part["query"], part["tokens"]):
-                if (lead, p, b) != key:
-                    if queries_:
+        for part in slices(batches, 64):
+            for g, p, b, member, s, flag, weight, text in zip(*(part[c] for c in ("g", "part", "block", "member", "set", "flag", "weight", "text"))):
+                if (g, p, b) != key:
+                    if asking:
                         yield result()
-                    key, members_, queries_, last = (lead, p, b), [], [], None
-                if s == last:
+                    key, inside, asking, last = (g, p, b), [], [], None
+                if (member, s) == last:
                     continue
-                last, tokens = s, np.frombuffer(tok, np.uint64)
-                if member:  # these come first
-                    members_.append((s, tokens))
-                if query:
-                    queries_.append((s, tokens))
-        if queries_:
+                tokens = token_set(text, memo, n)
+                if set_id(tokens, threshold) == s:
+                    last = (member, s)
+                    (inside if member else asking).append((s, weight, flag, tokens))  # members come first
+        if asking:
             yield result()
 
-    ordered = laid.repartition(width, "leader", "part", "block").sortWithinPartitions("leader", "part", "block", F.desc("member"), "set")
-    pairs = ordered.mapInArrow(verify, "a long, b long, jaccard double").groupBy("a", "b").agg(F.max("jaccard").alias("jaccard"))
-    return pairs, members
+    ordered = laid.repartition(width, "g", "part", "block").sortWithinPartitions("g", "part", "block", F.desc("member"), "set")
+    linked = ordered.mapInArrow(verify, "set long, links long, root long")
+    if core is not None:  # the members of a core are all linked to one another
+        whole = core.join(info.select("set", "weight"), "set")
+        total = whole.groupBy("g").agg(F.sum("weight").alias("total"), F.min("set").alias("root"))
+        linked = linked.union(whole.join(total, "g").select("set", (F.col("total") - F.col("weight")).alias("links"), "root").where("links > 0"))
+    return cut(linked), cut(sets.where("weight > 1").union(info).distinct()), members
 
 
 def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows (doc_id_a, doc_id_b, jaccard), doc_id_a < doc_id_b, of similar documents.
+    """Rows (doc_id, class_id, n_links) of every document that is similar to another.
 
-    Documents whose token sets are the same are listed once each, beside the least doc_id that has the set, with index 1;
-    pairs of different sets are given by the least doc_id of either.  So the result grows with the documents, not with the
-    square of the number of copies, and all pairs follow from it.
+    n_links is the number of other documents at the threshold, copies included; class_id is the least doc_id of all that the
+    document is connected with through such links.  Documents without a link are a class by themselves and have no row.
     """
-    pairs, members = set_pairs(docs, n, threshold)
-    least = members.groupBy("set").agg(F.min("doc_id").alias("first"))
-    same = members.join(least, "set").where("doc_id > first").select(F.col("first").alias("doc_id_a"), F.col("doc_id").alias("doc_id_b"), F.lit(1.0).alias("jaccard"))
-    x, y = least.select(F.col("set").alias("a"), F.col("first").alias("x")), least.select(F.col("set").alias("b"), F.col("first").alias("y"))
-    across = pairs.join(x, "a").join(y, "b").select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"), "jaccard")
-    # a doc_id that comes with two texts may meet itself or the same partner twice
-    return same.union(across.where("doc_id_a <> doc_id_b")).groupBy("doc_id_a", "doc_id_b").agg(F.max("jaccard").alias("jaccard"))
+    linked, sets, members = set_links(docs, n, threshold)
+    first = sets.select("set", "first")
+    edges = linked.where("set <> root").select("set", "root").distinct()
+    edges = edges.join(first.withColumnRenamed("first", "a"), "set").join(first.select(F.col("set").alias("root"), F.col("first").alias("b")), "root")
+    label = components(edges.select("a", "b").where("a <> b"))
+    links = linked.groupBy("set").agg(F.sum("links").alias("links"))
+    known = sets.join(links, "set", "left").where("weight > 1 OR links > 0").join(label.withColumnRenamed("doc_id", "first"), "first", "left")
+    known = known.select("set", F.coalesce("root", "first").alias("class_id"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    rows = members.join(known, "set").select("doc_id", "class_id", "n_links")
+    return rows.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("n_links").alias("n_links"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -330,7 +423,5 @@ def drop_near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHO
 
     Rows that repeat a doc_id stand or fall together.  Null and empty texts and rows without doc_id stay.
     """
-    pairs = jaccard_join(docs, n, threshold)
-    label = components(pairs.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")))
-    gone = small_or_shuffled(cut(label.where("doc_id <> root").select("doc_id")))
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
+    gone = small_or_shuffled(cut(jaccard_join(docs, n, threshold).where("doc_id <> class_id").select(F.col("doc_id").alias("_gone"))))
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")

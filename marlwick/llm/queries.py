@@ -61,26 +61,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_ngram_jaccard_join, op2_token_counts, op3_chat_format, op4_pii_surrogates, op5_suffix_array_dedup, op6_secret_scan, op7_warc_fixity, op8_benchmark_decontamination, op9_line_quality, op10_sentencepiece)
 }
 
-#: The Jaccard join by brute force over n-gram lists.
+#: The Jaccard join by brute force over n-gram lists, and the classes by following all links.
 OP1_SQL = """
-WITH w AS (
+WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents
   WHERE text IS NOT NULL AND doc_id IS NOT NULL
 ), grams AS (
-  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+  SELECT DISTINCT doc_id, list_sort(list_distinct(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
     ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS s
   FROM w WHERE len(w) > 0
 ), sets AS (
-  SELECT s, min(doc_id) AS first, len(s) AS n FROM grams GROUP BY s
+  SELECT s, min(doc_id) AS first, count(*) AS weight, len(s) AS n FROM grams GROUP BY s
 ), tokens AS (
   SELECT first, n, unnest(s) AS t FROM sets
 ), across AS (
-  SELECT a.first AS x, b.first AS y, count(*) / (a.n + b.n - count(*)) AS j
+  SELECT a.first AS x, b.first AS y
   FROM tokens a JOIN tokens b ON a.t = b.t AND a.first < b.first
   GROUP BY a.first, a.n, b.first, b.n HAVING count(*) / (a.n + b.n - count(*)) >= 0.5 - 1e-12
+), links AS (
+  SELECT x, y FROM across UNION ALL SELECT y, x FROM across
+), reach AS (
+  SELECT DISTINCT x AS a, x AS b FROM links UNION SELECT reach.a, links.y FROM reach JOIN links ON reach.b = links.x
+), classes AS (
+  SELECT a, min(b) AS class_id FROM reach GROUP BY a
+), counts AS (
+  SELECT x, sum(weight) AS n_links FROM links JOIN sets ON first = y GROUP BY x
 )
-SELECT first AS doc_id_a, doc_id AS doc_id_b, CAST(1 AS DOUBLE) AS jaccard FROM grams JOIN sets USING (s) WHERE doc_id > first
-UNION ALL SELECT x, y, CAST(j AS DOUBLE) FROM across
+SELECT doc_id, min(coalesce(class_id, first)) AS class_id, CAST(sum(weight - 1 + coalesce(n_links, 0)) AS BIGINT) AS n_links
+FROM grams JOIN sets USING (s) LEFT JOIN classes ON a = first LEFT JOIN counts ON x = first
+WHERE weight > 1 OR n_links > 0 GROUP BY doc_id
 """
 
 #: Repeated passages by brute force over all windows of 50 words.

@@ -164,7 +164,7 @@ def repeated_passages(docs: DataFrame, size: int = MIN_WORDS) -> DataFrame:
     that stands in other documents too; first_doc_id is the least doc_id that has some of it."""
     if size < 4:
         raise ValueError("a passage has at least 4 words")
-    width, gram = shuffle_width(docs.sparkSession), max(2, size * 2 // 5)
+    width, gram = shuffle_width(docs), max(2, size * 2 // 5)
     # sorting holds a partition's words at once, so there are more and smaller of those
     fine = 4 * width
 

@@ -36,8 +36,8 @@ def by_id(df, *columns):
 
 
 def test_jaccard(docs):
-    got = by_id(jaccard_join.jaccard_join(docs), "doc_id_a", "doc_id_b", "jaccard")
-    assert got == [(5, 6, 1.0), (7, 8, 1.0)]
+    got = by_id(jaccard_join.jaccard_join(docs), "doc_id", "class_id", "n_links")
+    assert got == [(5, 5, 1), (6, 5, 1), (7, 7, 1), (8, 7, 1)]
     assert jaccard_join.jaccard_join(empty(docs)).count() == 0
     kept = jaccard_join.drop_near_duplicates(docs)
     assert kept.columns == docs.columns and kept.count() == len(TEXTS) - 2
