@@ -35,13 +35,14 @@ from pyspark.sql import functions as F
 from .common import cut, hashed, lean, ngram_hashes, shuffle_width, slices, small_or_shuffled, table, word_hashes, words_of
 
 N, THRESHOLD = 3, 0.5
-#: Tokens whose order is pushed back: seen LOCAL times in a part and OFTEN times in all, at most MOST of them (8 MB).  They
+#: Tokens whose order is pushed back: seen LOCAL times in a part and OFTEN times in all, at most MOST of them (9 MB).  They
 #: change which groups are opened, never what is found.
-LOCAL, OFTEN, MOST = 2, 12, 1_000_000
+LOCAL, OFTEN, MOST = 2, 4, 1_000_000
 #: A token of more sets than this is handled in as many tasks as it has times so many.
 HOT = 1_000_000
-#: Prefix tokens that candidates must share (k above, less for small sets); a power of two.  More are more selective.
-SHARED = 8
+#: Prefix tokens that candidates must share (k above) are SHARED at least and a quarter of the needed overlap about, or all of it
+#: where that is less.  More are more selective, and make for longer prefixes.  A set's id holds its k in the low CODES bits.
+SHARED, CODES = 8, 16
 #: Members, and tokens of them, that a task compares at once; larger groups come in parts, and each query meets every part.
 GROUP, PART_TOKENS = 1024, 1 << 20
 #: Likewise for the queries of a group, which come in blocks.
@@ -53,9 +54,16 @@ def token_set(text: str | None, memo, n: int) -> np.ndarray:
 
 
 def set_id(tokens: np.ndarray, t: float) -> int:
-    """Identity of a token set, signed for Spark.  Its low bits hold the number of prefix tokens, less one, that a partner at
-    the threshold must share."""
-    return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes()) & ~(SHARED - 1) | shared_needed(len(tokens), t) - 1).astype(np.int64))
+    """Identity of a token set, signed for Spark; its low bits tell how many prefix tokens a partner must share."""
+    k = shared_needed(len(tokens), t)
+    code = k - 1 if k <= SHARED else k.bit_length() + SHARED - SHARED.bit_length() - 1
+    return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes()) & ~(CODES - 1) | code).astype(np.int64))
+
+
+def _k(name: str) -> str:
+    """SQL for the k of a set by its id."""
+    code = f"cast({name} & {CODES - 1} AS INT)"
+    return f"if({code} < {SHARED}, {code} + 1, shiftleft({SHARED}, {code} - {SHARED - 1}))"
 
 
 def overlap_needed(size: int, t: float) -> int:
@@ -64,16 +72,19 @@ def overlap_needed(size: int, t: float) -> int:
 
 
 def shared_needed(size: int, t: float) -> int:
-    return min(SHARED, overlap_needed(size, t))
+    """Prefix tokens that a set of this size shares with any partner that needs as many: 1 to SHARED, or a power of two."""
+    need = overlap_needed(size, t)
+    return min(SHARED, need) if need < 8 * SHARED else 1 << min(SHARED.bit_length() - 1 + CODES - SHARED, (need // 4).bit_length() - 1)
 
 
-def prefix(tokens: np.ndarray, t: float, frequent: np.ndarray) -> np.ndarray:
-    """The tokens of the prefix of a sorted set, in the order (frequent, hash)."""
+def prefix(tokens: np.ndarray, t: float, frequent: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """The tokens of the prefix of a sorted set, in the order (level of frequent ones, hash)."""
     keep = len(tokens) - overlap_needed(len(tokens), t) + shared_needed(len(tokens), t)
     if len(frequent):
-        at = np.searchsorted(frequent, tokens)
-        late = frequent[np.minimum(at, len(frequent) - 1)] == tokens
-        tokens = np.concatenate([tokens[~late], tokens[late]])
+        at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
+        late = frequent[at] == tokens
+        last = np.flatnonzero(late)
+        tokens = np.concatenate([tokens[~late], tokens[last[np.argsort(level[at[last]], kind="stable")]]])
     return tokens[:keep]
 
 
@@ -81,8 +92,9 @@ def _texts(docs: DataFrame) -> DataFrame:
     return lean(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
 
 
-def frequent_tokens(docs: DataFrame, n: int) -> tuple[np.ndarray, dict[int, int]]:
-    """Sorted hashes of the most frequent tokens of the whole corpus; of the hot ones, into how many tasks they go."""
+def frequent_tokens(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray, dict[int, int]]:
+    """Sorted hashes of the most frequent tokens of the whole corpus, and the levels of their counts; of the hot ones, into how
+    many tasks they go."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, held, seen = word_hashes(), [], 0
@@ -113,10 +125,13 @@ def frequent_tokens(docs: DataFrame, n: int) -> tuple[np.ndarray, dict[int, int]
             break
         level = r["level"]
     if level is None:
-        return np.zeros(0, np.uint64), {}
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint8), {}
     top = often.where(F.col("level") >= level)
     hot = {r["token"] % (1 << 64): -(-r["times"] // HOT) for r in top.where(F.col("times") > HOT).collect()}
-    return np.sort(top.select("token").toArrow()["token"].to_numpy().astype(np.int64).view(np.uint64)), hot
+    found = top.select("token", "level").toArrow()
+    tokens, levels = found["token"].to_numpy().astype(np.int64).view(np.uint64), found["level"].to_numpy().astype(np.uint8)
+    order = np.argsort(tokens)
+    return tokens[order], levels[order], hot
 
 
 #: One row for a shuffle partition, a residue of tokens and a part of the documents: sets, how many keys each has, the keys; and
@@ -124,12 +139,12 @@ def frequent_tokens(docs: DataFrame, n: int) -> tuple[np.ndarray, dict[int, int]
 PACKED = "pid int, residue int, owners binary, counts binary, keys binary, sets binary, docs binary, sizes binary"
 
 
-def _postings(docs: DataFrame, n: int, t: float, frequent: np.ndarray, hot: dict[int, int], width: int) -> DataFrame:
+def _postings(docs: DataFrame, n: int, t: float, frequent: np.ndarray, level: np.ndarray, hot: dict[int, int], width: int) -> DataFrame:
     """PACKED rows of all prefix tokens with the sets that they are of, and of all sets with their documents."""
-    shared = docs.sparkSession.sparkContext.broadcast((frequent, np.array(sorted(hot), np.uint64), np.array([hot[x] for x in sorted(hot)], np.uint64)))
+    shared = docs.sparkSession.sparkContext.broadcast((frequent, level, np.array(sorted(hot), np.uint64), np.array([hot[x] for x in sorted(hot)], np.uint64)))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, (late, hottest, tasks) = word_hashes(), shared.value
+        memo, (late, level, hottest, tasks) = word_hashes(), shared.value
         tokens, counts, sets, ids, sizes, held = [], [], [], [], [], 0
 
         def flush():
@@ -141,7 +156,7 @@ def _postings(docs: DataFrame, n: int, t: float, frequent: np.ndarray, hot: dict
             if len(hottest):
                 at = np.minimum(np.searchsorted(hottest, tok), len(hottest) - 1)
                 i = np.flatnonzero(hottest[at] == tok)
-                pid[i] = (pid[i] + (sid[of[i]].view(np.uint64) // np.uint64(SHARED) % tasks[at[i]]).astype(np.int64)) % width
+                pid[i] = (pid[i] + (sid[of[i]].view(np.uint64) // np.uint64(CODES) % tasks[at[i]]).astype(np.int64)) % width
             order = np.lexsort((of, residue, pid))
             pid, residue, of, key = pid[order], residue[order], of[order], key[order]
             apart = np.append(True, (pid[1:] != pid[:-1]) | (residue[1:] != residue[:-1]))
@@ -151,7 +166,7 @@ def _postings(docs: DataFrame, n: int, t: float, frequent: np.ndarray, hot: dict
             ends, cells = np.append(row, len(pid)), np.append(np.searchsorted(cell, row), len(cell))
             none = np.zeros(0).tobytes()
             out = [(int(pid[r]), int(residue[r]), owner[cells[i] : cells[i + 1]].tobytes(), each[cells[i] : cells[i + 1]].tobytes(), key[ends[i] : ends[i + 1]].tobytes(), none, none, none) for i, r in enumerate(row)]
-            home = (sid.view(np.uint64) // np.uint64(SHARED) % np.uint64(width)).astype(np.int64)
+            home = (sid.view(np.uint64) // np.uint64(CODES) % np.uint64(width)).astype(np.int64)
             order = np.argsort(home, kind="stable")
             home, sid, doc, long = home[order], sid[order], doc[order], long[order]
             at = np.append(np.flatnonzero(np.append(True, home[1:] != home[:-1])), len(home))
@@ -163,7 +178,7 @@ def _postings(docs: DataFrame, n: int, t: float, frequent: np.ndarray, hot: dict
             for doc, text in zip(part["doc_id"], part["text"]):
                 s = token_set(text, memo, n)
                 if len(s):
-                    p = prefix(s, t, late)
+                    p = prefix(s, t, late, level)
                     tokens.append(p), counts.append(len(p)), sets.append(set_id(s, t)), ids.append(doc), sizes.append(len(s))
                     held += len(p)
             if held > 1_500_000:
@@ -219,7 +234,7 @@ def _groups(posted: DataFrame) -> DataFrame:
     """(set, grp) of the sets that join another's group; all others have a group of their own name.  Chains of sets that join
     one another are followed four steps, which is enough for most and is not needed by any."""
     ties = posted.where("set <> leader").groupBy("set", "leader").agg(F.count(F.lit(1)).alias("times"))
-    best = ties.where(f"times > least(set & {SHARED - 1}, leader & {SHARED - 1})").groupBy("set").agg(F.max(F.struct("times", F.expr("~leader").alias("l"))).alias("m"))
+    best = ties.where(f"times >= least({_k('set')}, {_k('leader')})").groupBy("set").agg(F.max(F.struct("times", F.expr("~leader").alias("l"))).alias("m"))
     groups = cut(best.select("set", F.expr("~m.l").alias("grp")))
     for _ in range(2):
         up = groups.select(F.col("set").alias("grp"), F.col("grp").alias("up"))
@@ -231,9 +246,9 @@ def _matrix(posted: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]
     """(cells, pivots): (set, g, own) where the overlap of a set with the row of group g, its own or a lesser one, reaches k;
     and (g, pivot), the member of g that has most of the tokens that are shared within it."""
     placed = posted.join(groups, "set", "left").select("token", "set", F.coalesce("grp", "set").alias("grp"))
-    row = placed.groupBy("token", F.col("grp").alias("g")).agg(F.count(F.lit(1)).alias("holders"), F.min(F.expr(f"set & {SHARED - 1}")).alias("k"))
+    row = placed.groupBy("token", F.col("grp").alias("g")).agg(F.count(F.lit(1)).alias("holders"), F.min(F.expr(_k("set"))).alias("k"))
     hits = placed.join(row, "token").where("g < grp OR g = grp AND holders > 1").groupBy("set", "grp", "g").agg(F.count(F.lit(1)).alias("overlap"), F.min("k").alias("k"), F.sum("holders").alias("popular"))
-    cells = cut(hits.where(f"overlap > least(set & {SHARED - 1}, k)").select("set", "g", F.expr("g = grp").alias("own"), "popular"))
+    cells = cut(hits.where(f"overlap >= least({_k('set')}, k)").select("set", "g", F.expr("g = grp").alias("own"), "popular"))
     pivots = cells.where("own").groupBy("g").agg(F.max(F.struct("popular", "set")).alias("m")).select("g", F.col("m.set").alias("pivot"))
     return cells.drop("popular"), pivots
 
@@ -306,10 +321,13 @@ def set_links(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tupl
     weight, size), each set's least document, number of documents and number of tokens, beside (set, doc_id) in members."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    width, (frequent, hot) = shuffle_width(docs), frequent_tokens(docs, n)
-    posted = table(_postings(docs, n, threshold, frequent, hot, width).repartitionById(width, "pid").mapInArrow(_shared, "kind int, a long, b long, c long"))
+    width, (frequent, level, hot) = shuffle_width(docs), frequent_tokens(docs, n)
+    posted = table(_postings(docs, n, threshold, frequent, level, hot, width).repartitionById(width, "pid").mapInArrow(_shared, "kind int, a long, b long, c long"))
     members = posted.where("kind = 1").select(F.col("a").alias("set"), F.col("b").alias("doc_id"), F.col("c").cast("int").alias("size")).distinct()
     posted = posted.where("kind = 0").select(F.col("a").alias("token"), F.col("b").alias("set"), F.col("c").alias("leader"))
+    # A partner has t of the size at least, and so this k at least; a set with fewer tokens that any other has, has no partner.
+    hopeful = posted.groupBy("set").agg(F.count(F.lit(1)).alias("held")).where(f"held >= pow(2, floor(log2({threshold} * {_k('set')})))").select("set")
+    posted = posted.join(hopeful, "set", "left_semi")
     groups = _groups(posted)
     cells, pivots = _matrix(posted, groups)
     sets = members.groupBy("set").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("weight"), F.max("size").alias("size"))
