@@ -2,13 +2,19 @@
 
 A suffix is a place in a document with at least MIN_WORDS words ahead.  Two suffixes with that many words in common have the
 same least GRAM-gram among those words, so suffixes are spread over the cluster by that least gram, and only the places whose
-gram occurs in two documents are looked at again.  There, suffixes are sorted by a mergesort that compares by prefix polynomial
-hashes: binary search over the hashes finds the common extension of two suffixes in a logarithmic number of steps, and the word
-after it decides.  Neighbours in that order tell the repeated passages, after their words are compared one by one, which
-catches collisions of the hashes.
+gram occurs in two documents are looked at again.  There, the suffixes of each gram are sorted by a mergesort that compares by
+prefix polynomial hashes: binary search over the hashes finds the common extension of two suffixes in a logarithmic number of
+steps, and the word after it decides.  The common extensions of neighbours in that order, after their words are compared one
+by one, which catches collisions of the hashes, cut the order into runs of suffixes with MIN_WORDS words in common; a run
+that has two documents is a repeated passage.
+
+The grams that two documents have are sent to all workers while they are few (EXACT); beyond that as a Bloom filter of a fixed
+size.  What it lets pass in vain is sorted too and found to repeat nothing, so texts are never shuffled, and nothing is lost.
+Grams of more than HOT documents (a licence that millions carry) don't go to one task to be sorted: their suffixes are told
+apart by the hash of their first MIN_WORDS words, which is aggregated before it is shuffled.
 
 A word is repeated if it lies in MIN_WORDS words in a row that also stand in a document of another doc_id; the result is
-the maximal runs of such words.  Every such run is found; the only approximation is that words are told apart by hashes.
+the maximal runs of such words.  Every such run is found; the only approximation is that words are told apart by 64-bit hashes.
 
 Defined cases: words are runs between white space, in lower case.  Null texts, texts of fewer than MIN_WORDS words and rows
 without doc_id have no passages.  Repetition within one document, or among rows of one doc_id, does not count; for each of
@@ -24,9 +30,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hashed, lean, ngram_hashes, shuffle_width, slices, word_hashes, words_of
+from .common import cut, hashed, lean, mixed, ngram_hashes, shuffle_width, slices, word_hashes, words_of
 
 MIN_WORDS = 50
+#: Shared grams that are sent to all workers as they are (32 MB); more become a Bloom filter of BLOOM bytes.
+EXACT, BLOOM = 4_000_000, 64 << 20
+#: Documents of a gram, beyond which its suffixes aren't sorted in one task.
+HOT = 100_000
+
+
+class Grams:
+    """A set of grams: sorted, or a Bloom filter that may hold more."""
+
+    def __init__(self, grams: np.ndarray | None = None, size: int = 0):
+        self.sorted, self.bits, self.size = grams, np.zeros(size, np.uint8) if grams is None else None, size
+
+    def _places(self, g: np.ndarray) -> Iterator[np.ndarray]:
+        h = mixed(g)
+        for _ in range(3):
+            yield h % np.uint64(self.size * 8)
+            h = mixed(h + np.uint64(0x9E3779B97F4A7C15))
+
+    def add(self, g: np.ndarray) -> None:
+        for p in self._places(g):
+            np.bitwise_or.at(self.bits, p >> np.uint64(3), (np.uint64(1) << (p & np.uint64(7))).astype(np.uint8))
+
+    def has(self, g: np.ndarray) -> np.ndarray:
+        if self.sorted is not None:
+            return self.sorted[np.minimum(np.searchsorted(self.sorted, g), len(self.sorted) - 1)] == g if len(self.sorted) else np.zeros(len(g), bool)
+        found = np.ones(len(g), bool)
+        for p in self._places(g):
+            found &= (self.bits[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        return found
 
 
 def least_grams(h: np.ndarray, size: int, gram: int) -> np.ndarray:
@@ -56,9 +91,9 @@ class Suffixes:
         self.back = np.full(n + 1, pow(self.BASE, -1, 1 << 64), np.uint64)
         self.back[0] = 1
         power, self.back = np.cumprod(power, dtype=np.uint64), np.cumprod(self.back, dtype=np.uint64)
-        mixed = (words.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-        mixed ^= mixed >> np.uint64(32)
-        self.sums = np.append(np.uint64(0), np.cumsum(mixed * power[:n], dtype=np.uint64))
+        value = (words.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+        value ^= value >> np.uint64(32)
+        self.sums = np.append(np.uint64(0), np.cumsum(value * power[:n], dtype=np.uint64))
 
     def hash(self, at: np.ndarray, length) -> np.ndarray:
         return (self.sums[at + length] - self.sums[at]) * self.back[at]
@@ -125,31 +160,23 @@ class Suffixes:
         return out
 
 
-def repeated(words: np.ndarray, at: np.ndarray, room: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def repeated(words: np.ndarray, at: np.ndarray, room: np.ndarray, doc: np.ndarray, group: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Of the suffixes at the given places: whether the first size words of each stand in another document too, and the least
-    document in which they stand."""
+    document in which they stand.  Suffixes with so many words in common are of one group."""
     s = Suffixes(words)
-    h = s.hash(at, size)
-    order = np.lexsort((doc, h))
-    first = runs(h[order])
-    many = np.zeros(len(first), bool)
-    ends = np.append(first[1:], len(order))
-    many[:] = doc[order[first]] != doc[order[ends - 1]]  # sorted by document within a hash
-    keep = order[np.repeat(many, ends - first)]
-    flag, least = np.zeros(len(at), bool), doc.copy()
-    if not len(keep):
-        return flag, least
-    group = np.repeat(np.arange(int(many.sum())), (ends - first)[many])
-    sorted_ = keep[s.sort(at[keep], room[keep], group, size)]
+    by = np.argsort(group, kind="stable")
+    sorted_ = by[s.sort(at[by], room[by], group[by], 0)]
     a, b = sorted_[:-1], sorted_[1:]
-    together = group[1:] == group[:-1]
+    together = group[a] == group[b]
     length = np.where(together, np.minimum(room[a], room[b]), 0)
-    length[together] = s.common(at[a[together]], at[b[together]], length[together], size)
-    length[together] = s.verified(at[a[together]], at[b[together]], length[together])
-    # neighbours with size words in common are occurrences of one passage
+    length[together] = s.common(at[a[together]], at[b[together]], length[together], 0)
+    long = length >= size
+    length[long] = s.verified(at[a[long]], at[b[long]], length[long])
+    # the order is cut wherever neighbours have fewer than size words in common
     part = np.append(0, np.cumsum(length < size))
     starts = runs(part)
     low, high = np.minimum.reduceat(doc[sorted_], starts), np.maximum.reduceat(doc[sorted_], starts)
+    flag, least = np.zeros(len(at), bool), doc.copy()
     flag[sorted_] = (low < high)[part]
     least[sorted_] = low[part]
     return flag, least
@@ -169,16 +196,21 @@ def repeated_passages(docs: DataFrame, size: int = MIN_WORDS) -> DataFrame:
     fine = 4 * width
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(pid, grams, docs): which documents have which least grams."""
+        """(pid, grams, lows, highs, times): the least grams, the least and greatest document that has each, and how many have."""
         memo, held, ids, seen = word_hashes(150_000), [], [], 0
 
         def flush():
             g, d = np.concatenate(held), np.repeat(np.array(ids, np.int64), [len(x) for x in held])
+            order = np.lexsort((d, g))
+            g, d = g[order], d[order]
+            first = runs(g)
+            last = np.append(first[1:], len(g)) - 1
+            g, low, high, times = g[first], d[first], d[last], (last - first + 1).astype(np.int64)
             pid = (g % np.uint64(width)).astype(np.int64)
             order = np.argsort(pid, kind="stable")
-            g, d, cuts = g[order], d[order], np.searchsorted(pid[order], np.arange(width + 1))
+            cuts = np.searchsorted(pid[order], np.arange(width + 1))
             some = [p for p in range(width) if cuts[p + 1] > cuts[p]]
-            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array([x[cuts[p] : cuts[p + 1]].tobytes() for p in some], pa.binary()) for x in (g, d))], ["pid", "grams", "docs"])
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array([x[order][cuts[p] : cuts[p + 1]].tobytes() for p in some], pa.binary()) for x in (g, low, high, times))], ["pid", "grams", "lows", "highs", "times"])
 
         for part in slices(batches):
             for doc, text in zip(part["doc_id"], part["text"]):
@@ -194,75 +226,83 @@ def repeated_passages(docs: DataFrame, size: int = MIN_WORDS) -> DataFrame:
             yield flush()
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(doc_id, grams): the grams of this partition that a document has in common with another."""
-        g, d = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        """(grams, hot, n): grams of this partition that two documents have, packed by the million, and the hot ones of them."""
+        columns: list[list[np.ndarray]] = [[np.zeros(0, k)] for k in (np.uint64, np.int64, np.int64, np.int64)]
         for b in batches:
-            g += [np.frombuffer(x, np.uint64) for x in b.column(1).to_pylist()]
-            d += [np.frombuffer(x, np.int64) for x in b.column(2).to_pylist()]
-        g, d = np.concatenate(g), np.concatenate(d)
+            for i, into in enumerate(columns, 1):
+                into += [np.frombuffer(x, into[0].dtype) for x in b.column(i).to_pylist()]
+        g, low, high, times = map(np.concatenate, columns)
         if not len(g):
             return
-        order = np.lexsort((d, g))
-        g, d = g[order], d[order]
+        order = np.argsort(g, kind="stable")
+        g = g[order]
         first = runs(g)
-        ends = np.append(first[1:], len(g))
-        keep = np.repeat(d[first] != d[ends - 1], ends - first)
-        g, d = g[keep], d[keep]
-        order = np.argsort(d, kind="stable")
-        g, d = g[order], d[order]
-        starts = runs(d) if len(d) else np.zeros(0, np.int64)
-        stops = np.append(starts[1:], len(d))
-        for at in range(0, len(starts), 100_000):
-            a, b = starts[at : at + 100_000], stops[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(d[a]), pa.array([g[x:y].tobytes() for x, y in zip(a, b)], pa.binary())], ["doc_id", "grams"])
-
-    found = _texts(docs).mapInArrow(places, "pid int, grams binary, docs binary").repartitionById(width, "pid").mapInArrow(shared, "doc_id long, grams binary")
-    wanted = found.groupBy("doc_id").agg(F.array_join(F.collect_list(F.hex("grams")), "").alias("grams")).select("doc_id", F.unhex("grams").alias("grams"))
+        low, high, times = np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first), np.add.reduceat(times[order], first)
+        keep = low < high
+        g, times = g[first][keep], times[keep]
+        for at in range(0, len(g), 1_000_000):
+            x, t = g[at : at + 1_000_000], times[at : at + 1_000_000]
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()), pa.array([x[t > HOT].tobytes()], pa.binary()), pa.array([len(x)], pa.int64())], ["grams", "hot", "n"])
+
+    found = cut(_texts(docs).mapInArrow(places, "pid int, grams binary, lows binary, highs binary, times binary").repartitionById(width, "pid").mapInArrow(shared, "grams binary, hot binary, n long"))
+    total = found.agg(F.sum("n")).first()[0] or 0
+    # grams of more than HOT documents are no more than the documents' least grams over HOT
+    hot = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r["hot"], np.uint64) for r in found.where("octet_length(hot) > 0").select("hot").toLocalIterator())]))
+    chunks = (np.frombuffer(r["grams"], np.uint64) for r in found.select("grams").toLocalIterator())
+    if total <= EXACT:
+        grams = Grams(np.sort(np.concatenate([np.zeros(0, np.uint64), *chunks])))
+    else:
+        grams = Grams(size=BLOOM)
+        for chunk in chunks:
+            grams.add(chunk)
+    told = docs.sparkSession.sparkContext.broadcast((grams, Grams(hot)))
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(pid, docs, starts, counts, words): stretches of words whose first counts suffixes are to be sorted."""
-        memo, rows, seen = word_hashes(150_000), [], 0
+        """(pid, docs, starts, counts, grams, words): stretches of words whose first counts suffixes are to be sorted."""
+        memo, rows, seen, (wanted, apart) = word_hashes(150_000), [], 0, told.value
 
         def flush():
             by: dict[int, list] = {}
             for r in rows:
                 by.setdefault(r[0], []).append(r)
             return pa.RecordBatch.from_arrays(
-                [pa.array(list(by), pa.int32()), *(pa.array([np.array([r[i] for r in x], kind).tobytes() for x in by.values()], pa.binary()) for i, kind in ((1, np.int64), (2, np.int32), (3, np.int32))), pa.array([np.concatenate([r[4] for r in x]).tobytes() for x in by.values()], pa.binary())],
-                ["pid", "docs", "starts", "counts", "words"],
+                [pa.array(list(by), pa.int32()), *(pa.array([np.array([r[i] for r in x], kind).tobytes() for x in by.values()], pa.binary()) for i, kind in ((1, np.int64), (2, np.int32), (3, np.int32), (4, np.uint64))), pa.array([np.concatenate([r[5] for r in x]).tobytes() for x in by.values()], pa.binary())],
+                ["pid", "docs", "starts", "counts", "grams", "words"],
             )
 
         for part in slices(batches, 128):
-            for doc, text, grams in zip(part["doc_id"], part["text"], part["grams"]):
+            for doc, text in zip(part["doc_id"], part["text"]):
                 w = words_of(text)
                 if len(w) < size:
                     continue
                 h = hashed(w, memo)
                 g = least_grams(h, size, gram)
                 starts = runs(g)
-                short = (h >> np.uint64(32)).astype(np.uint32)
-                for i in np.flatnonzero(np.isin(g[starts], np.frombuffer(grams, np.uint64))).tolist():
+                own = g[starts]
+                for i in np.flatnonzero(wanted.has(own) & ~apart.has(own)).tolist():
                     s, e = int(starts[i]), int(starts[i + 1]) if i + 1 < len(starts) else len(g)
-                    rows.append((int(g[s] // np.uint64(1 << 20) % np.uint64(fine)), doc, s, e - s, short[s : e + size - 1]))
+                    rows.append((int(own[i] // np.uint64(1 << 20) % np.uint64(fine)), doc, s, e - s, own[i], h[s : e + size - 1]))
                     seen += e - s + size
-            if seen > 2_000_000:
+            if seen > 1_000_000:
                 yield flush()
                 rows, seen = [], 0
         if rows:
             yield flush()
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs_, starts, counts, words = ([np.zeros(0, k)] for k in (np.int64, np.int32, np.int32, np.uint32))
+        columns: list[list[np.ndarray]] = [[np.zeros(0, k)] for k in (np.int64, np.int32, np.int32, np.uint64, np.uint64)]
         for b in batches:
-            for i, (into, kind) in enumerate(((docs_, np.int64), (starts, np.int32), (counts, np.int32), (words, np.uint32)), 1):
-                into += [np.frombuffer(x, kind) for x in b.column(i).to_pylist()]
-        d, s, n, w = np.concatenate(docs_), np.concatenate(starts).astype(np.int64), np.concatenate(counts).astype(np.int64), np.concatenate(words)
+            for i, into in enumerate(columns, 1):
+                into += [np.frombuffer(x, into[0].dtype) for x in b.column(i).to_pylist()]
+        d, s, n, g, w = map(np.concatenate, columns)
+        del columns
         if not len(d):
             return
+        s, n = s.astype(np.int64), n.astype(np.int64)
         base = np.append(0, np.cumsum(n + size - 1)[:-1])
         seg = np.repeat(np.arange(len(d)), n)
         inside = np.arange(n.sum()) - np.repeat(np.append(0, np.cumsum(n)[:-1]), n)
-        flag, least = repeated(w, base[seg] + inside, n[seg] - inside + size - 1, d[seg], size)
+        flag, least = repeated(w, base[seg] + inside, n[seg] - inside + size - 1, d[seg], g[seg], size)
         i = np.flatnonzero(flag)
         if not len(i):
             return
@@ -274,8 +314,26 @@ def repeated_passages(docs: DataFrame, size: int = MIN_WORDS) -> DataFrame:
             x, y = a[at : at + 500_000], b[at : at + 500_000]
             yield pa.RecordBatch.from_arrays([pa.array(d[seg[x]]), pa.array((s[seg[x]] + inside[x]).astype(np.int32)), pa.array((s[seg[y]] + inside[y] + size).astype(np.int32)), pa.array(low[at : at + 500_000])], ["doc_id", "start_word", "end_word", "first_doc_id"])
 
-    laid = _texts(docs).join(wanted, "doc_id").select("doc_id", "text", "grams").mapInArrow(segments, "pid int, docs binary, starts binary, counts binary, words binary").repartitionById(fine, "pid")
+    def hot_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(passage, doc_id, start_word): the suffixes of hot grams, with the hash of their first size words."""
+        memo, (_, apart) = word_hashes(150_000), told.value
+        for part in slices(batches, 128):
+            out = []
+            for doc, text in zip(part["doc_id"], part["text"]):
+                w = words_of(text)
+                if len(w) >= size:
+                    h = hashed(w, memo)
+                    at = np.flatnonzero(apart.has(least_grams(h, size, gram)))
+                    out.append((Suffixes(h).hash(at, size).view(np.int64), np.full(len(at), doc, np.int64), at.astype(np.int32)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in out])) for i in range(3)], ["passage", "doc_id", "start_word"])
+
+    laid = _texts(docs).mapInArrow(segments, "pid int, docs binary, starts binary, counts binary, grams binary, words binary").repartitionById(fine, "pid")
     spans = laid.mapInArrow(sort, "doc_id long, start_word int, end_word int, first_doc_id long")
+    if len(hot):
+        each = _texts(docs).mapInArrow(hot_suffixes, "passage long, doc_id long, start_word int")
+        twice = each.groupBy("passage").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("_last")).where("first_doc_id < _last").drop("_last")
+        spans = spans.union(each.join(twice, "passage").select("doc_id", "start_word", (F.col("start_word") + size).alias("end_word"), "first_doc_id"))
     # join what overlaps or touches, in each document
     w = Window.partitionBy("doc_id").orderBy("start_word", "end_word")
     fresh = F.coalesce((F.col("start_word") > F.max("end_word").over(w.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1))
