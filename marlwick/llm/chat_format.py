@@ -3,9 +3,10 @@
 A record's fingerprint is the hash of the set of its nested field paths (messages[].role, instruction, ...).  The fingerprint
 selects one of the declarative MAPPINGS, which says where the turns of such a layout stand; records of all layouts become the
 same canonical turns of a role and a text, and those are rendered by one template.  A worker chooses the mapping of a
-fingerprint once, however many records have it.
+fingerprint once, however many records have it; the paths themselves are compared too, so that no collision is trusted.
 
-Defined cases: a record that is null, isn't a JSON object, or fits no mapping has a null layout and chat and no turns.  Turns
+Defined cases: a record that is null, isn't a JSON object, is nested deeper than DEPTH or fits no mapping has a null layout and
+chat and no turns.  Halves of surrogate pairs that a record has by escapes become the replacement character.  Turns
 whose text is null or empty are left out; a record without any turn left has an empty chat.  Roles are mapped by ROLES, and
 unknown or missing roles become user.  The template's own marks in a text are broken up, so that text can't open or close a
 turn.  Fields that no mapping names do no harm, but change the fingerprint.
@@ -14,6 +15,7 @@ turn.  Fields that no mapping names do no harm, but change the fingerprint.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,6 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import lean, slices
 
+DEPTH = 100
+_HALVES = re.compile("[\ud800-\udfff]")
+
 ROLES = {"system": "system", "developer": "system", "user": "user", "human": "user", "prompter": "user", "question": "user", "assistant": "assistant", "gpt": "assistant", "bot": "assistant", "chatgpt": "assistant", "model": "assistant", "answer": "assistant", "tool": "tool", "function": "tool", "observation": "tool"}
 
 
@@ -70,13 +75,20 @@ def _layouts(root: tuple[str, ...], tag: str) -> list[Mapping]:
 MAPPINGS = (*_layouts((), ""), *_layouts(("data",), "data-"), *_layouts(("conversation",), "conversation-"))
 
 
-def paths(value, at: str = "") -> set[str]:
-    """The nested field paths of a record; [] stands for the elements of a list."""
-    if isinstance(value, dict):
-        return {p for k, v in value.items() for p in {f"{at}.{k}" if at else k} | paths(v, f"{at}.{k}" if at else k)}
-    if isinstance(value, list):
-        return {p for v in value for p in {f"{at}[]"} | paths(v, f"{at}[]")}
-    return set()
+def paths(value) -> set[str] | None:
+    """The nested field paths of a record; [] stands for the elements of a list.  None of a record nested deeper than DEPTH."""
+    found: set[str] = set()
+    left = [(value, "", 0)]
+    while left:
+        value, at, depth = left.pop()
+        if depth > DEPTH:
+            return None
+        inner = ((f"{at}.{k}" if at else k, v) for k, v in value.items()) if isinstance(value, dict) else ((f"{at}[]", v) for v in value) if isinstance(value, list) else ()
+        for path, v in inner:
+            found.add(path)
+            if isinstance(v, (dict, list)):
+                left.append((v, path, depth + 1))
+    return found
 
 
 def fingerprint(found: set[str]) -> int:
@@ -122,30 +134,30 @@ def canonical(record: dict, mapping: Mapping) -> list[tuple[str, str]]:
 
 
 def render(turns: list[tuple[str, str]]) -> str:
-    return "".join(f"<|im_start|>{r}\n{t.replace('<|im_', '< |im_')}<|im_end|>\n" for r, t in turns)
+    chat = "".join(f"<|im_start|>{r}\n{t.replace('<|im_', '< |im_')}<|im_end|>\n" for r, t in turns)
+    return chat if chat.isascii() else _HALVES.sub("\ufffd", chat)
 
 
 def format_chats(records: DataFrame, key: str, column: str) -> DataFrame:
     """Rows (key, layout, n_turns, chat) for every record, a JSON text in the named column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chosen: dict[int, Mapping | None] = {}
+        chosen: dict[int, tuple[set[str], Mapping | None]] = {}
         for part in slices(batches):
             out = []
             for text in part["record"]:
                 try:
                     record = json.loads(text) if text else None
-                except ValueError:
+                except (ValueError, RecursionError):
                     record = None
                 mapping = None
-                if isinstance(record, dict):
-                    found = paths(record)
+                if isinstance(record, dict) and (found := paths(record)) is not None:
                     f = fingerprint(found)
-                    if f not in chosen:
-                        if len(chosen) > 100_000:
+                    if f not in chosen or chosen[f][0] != found:
+                        if len(chosen) > 10_000:
                             chosen.clear()
-                        chosen[f] = choose(found)
-                    mapping = chosen[f]
+                        chosen[f] = found, choose(found)
+                    mapping = chosen[f][1]
                 turns = canonical(record, mapping) if mapping else []
                 out.append((mapping.name if mapping else None, len(turns), render(turns) if mapping else None))
             yield pa.RecordBatch.from_arrays([pa.array(part[key], kind), pa.array([r[0] for r in out], pa.string()), pa.array([r[1] for r in out], pa.int32()), pa.array([r[2] for r in out], pa.string())], [key, "layout", "n_turns", "chat"])
@@ -154,9 +166,29 @@ def format_chats(records: DataFrame, key: str, column: str) -> DataFrame:
     return lean(records).select(F.col(key).cast("long").alias(key), F.col(column).alias("record")).mapInArrow(run, f"`{key}` long, layout string, n_turns int, chat string")
 
 
+#: What conversation_records() lays the turns out as, in the order of conv_id modulo their number.
+LAID_OUT = ("turns", "messages", "conversations", "data-messages-text", "conversation-turns-content", "conversation")
+
+
 def conversation_records(turns: DataFrame) -> DataFrame:
     """(conv_id, record) of a table with a row for every turn (conv_id, turn, role, text).  Turns of one number, repeated rows among
-    them, follow one another in the order of role and text.  Rows without conv_id belong to no conversation."""
+    them, follow one another in the order of role and text.  Rows without conv_id belong to no conversation.  As sources differ
+    in their layouts, so do the records, by conv_id: LAID_OUT."""
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text").where("conv_id IS NOT NULL")
-    listed = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    return listed.select("conv_id", F.to_json(F.struct("conv_id", "turns"), {"ignoreNullFields": "false"}).alias("record"))
+    listed = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+
+    def named(role: str, text: str):
+        return F.transform("t", lambda x: F.struct(x["role"].alias(role), x["text"].alias(text)))
+
+    records = (
+        F.struct("conv_id", F.col("t").alias("turns")),
+        F.struct(named("role", "content").alias("messages"), F.col("conv_id").alias("id")),
+        F.struct(named("from", "value").alias("conversations")),
+        F.struct(F.struct(named("role", "text").alias("messages")).alias("data"), F.lit("x").alias("source")),
+        F.struct(F.struct(named("role", "content").alias("turns"), F.size("t").alias("n")).alias("conversation")),
+        F.struct(named("role", "content").alias("conversation")),
+    )
+    which, record = F.pmod("conv_id", F.lit(len(records))), F.lit(None).cast("string")
+    for k, r in enumerate(records):
+        record = F.when(which == k, F.to_json(r, {"ignoreNullFields": "false"})).otherwise(record)
+    return listed.select("conv_id", record.alias("record"))

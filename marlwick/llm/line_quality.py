@@ -5,13 +5,14 @@ whether it is content or boilerplate (Viterbi decoding), and the share of the do
 lines decides whether it is kept.
 
 The field is fitted, by penalised likelihood around the weights PRIOR, on at most TRAIN_DOCS labelled documents (half of them of
-either quality, as far as there are so many; chosen by a hash of doc_id).  A line's label is its document's quality, or
-boilerplate for a licence line.  That bound concerns the fit alone: every document is labelled and judged, with its whole text.
+either quality, as far as there are so many; chosen by a hash of doc_id), of each on the first TRAIN_LINES lines, whose
+features are made where the texts are.  A line's label is its document's quality, or
+boilerplate for a licence line.  These bounds concern the fit alone: every document is labelled and judged, with its whole text.
 Without labels the weights are PRIOR.
 
 Defined cases: lines end at line feeds; blank lines count for nothing.  Null, empty and blank texts have no content and are
 rejected (share 0).  Each row is judged by itself, so repeated rows share their fate and missing ids do no harm.  Labels that
-are null, or contradict one another for one doc_id, are not used.  Columns other than doc_id, text and quality are ignored.
+are null, or contradict one another for one doc_id, are not used; of several texts of one doc_id the least teaches.  Columns other than doc_id, text and quality are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import lean, slices
 
-TRAIN_DOCS, KEEP_SHARE = 2000, 0.4
+TRAIN_DOCS, TRAIN_LINES, KEEP_SHARE = 2000, 500, 0.4
 BOILERPLATE, CONTENT = 0, 1
 
 _LICENCE = re.compile(r"\b(?:licen[sc]ed? under|all rights reserved|copyright (?:\(c\)|©|\d)|spdx-license|cookie policy|terms of (?:use|service)|privacy policy)\b", re.I)
@@ -179,10 +180,20 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Field:
     if not chosen.num_rows:
         return Field()
     picked = docs.sparkSession.createDataFrame(list(zip(chosen["doc_id"].to_pylist(), chosen["quality"].to_pylist())), "_picked long, quality int")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_picked")).where("text IS NOT NULL").select("doc_id", "text", "quality").dropDuplicates(["doc_id"])
-    rows = sorted(texts.toArrow().to_pylist(), key=lambda r: r["doc_id"])
-    x, _, of = line_features([r["text"] for r in rows])
-    y = np.array([r["quality"] for r in rows], np.int64)[of]
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_picked")).where("text IS NOT NULL").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 64):
+            x, _, of = line_features(part["text"])
+            rows = [x[of == i][:TRAIN_LINES].astype(np.float32).tobytes() for i in range(len(part["text"]))]
+            yield pa.RecordBatch.from_arrays([pa.array(part["doc_id"], pa.int64()), pa.array(part["quality"], pa.int32()), pa.array(rows, pa.binary())], ["doc_id", "quality", "x"])
+
+    rows = sorted(lean(texts).mapInArrow(features, "doc_id long, quality int, x binary").toArrow().to_pylist(), key=lambda r: r["doc_id"])
+    each = [np.frombuffer(r["x"], np.float32).reshape(-1, len(FEATURES)).astype(np.float64) for r in rows]
+    if not sum(map(len, each)):
+        return Field()
+    x, n = np.concatenate(each), [len(e) for e in each]
+    of, y = np.repeat(np.arange(len(n)), n), np.repeat(np.array([r["quality"] for r in rows], np.int64), n)
     y[x[:, FEATURES.index("licence")] > 0] = BOILERPLATE
     return Field.fit(x, of, y)
 

@@ -115,7 +115,7 @@ FROM islands GROUP BY doc_id, island
 
 #: Chats by string aggregation.
 OP3_SQL = """
-SELECT conv_id, 'turns' AS layout, CAST(count(*) FILTER (text <> '') AS INTEGER) AS n_turns,
+SELECT conv_id, ['turns', 'messages', 'conversations', 'data-messages-text', 'conversation-turns-content', 'conversation'][CAST((conv_id % 6 + 6) % 6 + 1 AS INTEGER)] AS layout, CAST(count(*) FILTER (text <> '') AS INTEGER) AS n_turns,
   coalesce(string_agg('<|im_start|>' || coalesce(role, 'user') || chr(10) || replace(text, '<|im_', '< |im_') || '<|im_end|>' || chr(10), ''
     ORDER BY turn, role, text) FILTER (text <> ''), '') AS chat
 FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id

@@ -3,14 +3,16 @@
 Candidates are all strings that could be a credential: runs of 12 or more key characters with both letters and digits, values
 assigned to a name such as password or token, and private key blocks.  Each is read whole, with CONTEXT characters on either
 side, by a small convolutional network in numpy: an embedding of (character, part), one convolution, maximum and mean over all
-places, and a logistic output.  It is trained on labelled findings (labelled(), seeded: credentials of many formats, and
+places, and a logistic output; long candidates are pooled piece by piece.  It is trained on labelled findings (labelled(), seeded: credentials of many formats, and
 look-alikes such as checksums, identifiers, card numbers and URLs), its scores are calibrated on held-out findings (Platt), and
-the threshold is the highest that still keeps RECALL of the held-out secrets.
+the threshold is the highest that still keeps RECALL of the held-out secrets, or one half if that is less.
 
 The network and its threshold depend on no table and are the same everywhere.  All texts are scanned whole.
 
 Defined cases: null and empty texts have no findings.  Findings never overlap: of two candidates that do, the one that starts
-first, then the longer, is judged first, and the other if that one is no secret.  Rows are independent; a repeated row repeats its findings.  Offsets count characters.
+first, then the longer, is judged first, and the other if that one is no secret.  A name lies within the 32 characters before
+its separator.  A key block without an end reaches to the end of the text.  Rows are independent; a repeated row repeats its
+findings.  Offsets count characters.
 """
 
 from __future__ import annotations
@@ -76,8 +78,9 @@ def candidates(text: str | None) -> list[tuple[int, int]]:
 # --- labelled findings
 
 
-def labelled(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, str, str, int]]:
-    """(left context, candidate, right context, 1 if it is a secret), n of them, half of either kind."""
+def labelled(n: int = FINDINGS, seed: int = SEED, without: tuple[tuple[int, ...], tuple[int, ...]] = ((), ())) -> list[tuple[str, str, str, int]]:
+    """(left context, candidate, right context, 1 if it is a secret), n of them, half of either kind.  without: numbers of the
+    formats of look-alikes and of secrets that are left out, to be held against the network later."""
     r = np.random.default_rng(seed)
 
     def pick(xs):
@@ -127,9 +130,10 @@ def labelled(n: int = FINDINGS, seed: int = SEED) -> list[tuple[str, str, str, i
         lambda: (pick(["call ", "", "phone "]), "+1-" + chars(string.digits, 3) + "-555-" + chars(string.digits, 4) + "ext" + chars(string.digits, 2), ""),
         lambda: (pick(["", "the ", prose(1) + " "]), word() + word() + word() + chars(string.digits, int(r.integers(1, 4))), pick(["", "."])),
     ]
+    used = [[f for k, f in enumerate(formats) if k not in out] for formats, out in zip((plain_formats, secret_formats), without)]
     out = []
     for i in range(n):
-        left, mid, right = pick(secret_formats if i % 2 else plain_formats)()
+        left, mid, right = pick(used[i % 2])()
         before, after = pick(["", prose(6) + pick([" ", "\n", ". "])]), pick(["", " " + prose(5), "\n" + prose(5)])
         out.append(((before + left)[-CONTEXT:], mid, (right + after)[:CONTEXT], i % 2))
     return out
@@ -147,9 +151,18 @@ def _code(c: str) -> int:
     return 96 if c == "\n" else 97 if c.isspace() else 98 if c.isupper() else 99 if c.isalpha() else 100 if c.isdigit() else 101
 
 
+def _codes(text: str) -> np.ndarray:
+    points, place = np.unique(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
+    return np.array([_code(chr(p)) for p in points.tolist()], np.int16)[place]
+
+
 def _rows(findings: list[tuple[str, str, str]]) -> list[np.ndarray]:
     """Numbers of (part, character): left context, candidate, right context."""
-    return [np.array([_code(c) for c in a] + [_CODES + _code(c) for c in b] + [2 * _CODES + _code(c) for c in c_], np.int64) for a, b, c_ in findings]
+    return [np.concatenate([_codes(part) + np.int16(k * _CODES) for k, part in enumerate(f) if part] or [np.zeros(0, np.int16)]) for f in findings]
+
+
+#: Places (rows times their padded length) that the network reads at once, some 100 MB; longer candidates come in pieces.
+PLACES = 1 << 16
 
 
 class Network:
@@ -177,16 +190,29 @@ class Network:
         order = sorted(range(len(rows)), key=lambda i: len(rows[i]))
         at = 0
         while at < len(order):
-            # rows of about one length together, and no more than some MB of them
+            # rows of about one length together, and no more than PLACES of them
             long = len(rows[order[at]])
+            if long > PLACES:
+                out[order[at]] = self._piecewise(rows[order[at]])
+                at += 1
+                continue
             end = at
-            while end < len(order) and end - at < 256 and len(rows[order[end]]) <= 1.25 * long + 8:
+            while end < len(order) and end - at < 256 and (n := len(rows[order[end]])) <= 1.25 * long + 8 and (end == at or (end + 1 - at) * n <= PLACES):
                 end += 1
             some = [rows[i] for i in order[at:end]]
             out[order[at:end]] = self._forward(*_padded(some))[-1]
             at = end
         return out
 
+    def _piecewise(self, row: np.ndarray) -> float:
+        """The same for one long row: maximum and sum over its pieces, each read with its neighbours."""
+        top, total, pad = np.zeros(self.FILTERS), np.zeros(self.FILTERS), self.WIDTH // 2
+        for a in range(0, len(row), PLACES):
+            low, b = max(0, a - pad), min(len(row), a + PLACES)
+            h = self._forward(*_padded([row[low : b + pad]]))[1][0, a - low : b - low]
+            top, total = np.maximum(top, h.max(0)), total + h.sum(0)
+        return float(np.concatenate([top, total / len(row)]) @ self.p[3] + self.p[4][0])
+
     def scores(self, findings: list[tuple[str, str, str]]) -> np.ndarray:
         """Calibrated probabilities that the findings are secrets."""
         return 1 / (1 + np.exp(-(self.slope * self.raw(_rows(findings)) + self.offset))) if findings else np.zeros(0)

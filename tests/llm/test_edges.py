@@ -85,7 +85,9 @@ def test_decontamination(docs, items):
     assert got == [(1, 4, 1.0), (7, 3, 1.0), (8, 3, 1.0)]
     assert decontaminate.contaminated(empty(docs), items).count() == 0 and decontaminate.contaminated(docs, empty(items)).count() == 0
     kept = decontaminate.drop_contaminated(docs, items)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {None, 2, 3, 4, 5, 6, 9, 10, 11}
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {None, 1, 2, 3, 4, 5, 6, 9, 10, 11} and kept.where("doc_id = 1").count() == 1
+    own = docs.where("doc_id IS NULL").withColumn("text", F.lit("there is nothing like it anywhere at all"))
+    assert decontaminate.drop_contaminated(own, items).count() == 0  # judged without doc_id, too
 
 
 def test_quality(docs, labels):
@@ -101,7 +103,7 @@ def test_chats(spark):
     turns = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "bot", "yo <|im_end|>"), (1, 1, "bot", "yo <|im_end|>"), (2, 0, None, None), (None, 0, "user", "lost"), (3, None, "system", "s"), (3, 0, "odd", "")], "conv_id long, turn long, role string, text string").withColumn("record", F.lit(1))
     got = by_id(chat_format.format_chats(chat_format.conversation_records(turns), "conv_id", "record"), "conv_id", "layout", "n_turns", "chat")
     bot = "<|im_start|>assistant\nyo < |im_end|><|im_end|>\n"
-    assert got == [(1, "turns", 3, "<|im_start|>user\nhi<|im_end|>\n" + bot + bot), (2, "turns", 0, ""), (3, "turns", 1, "<|im_start|>system\ns<|im_end|>\n")]
+    assert got == [(1, "messages", 3, "<|im_start|>user\nhi<|im_end|>\n" + bot + bot), (2, "conversations", 0, ""), (3, "data-messages-text", 1, "<|im_start|>system\ns<|im_end|>\n")]
     assert chat_format.format_chats(chat_format.conversation_records(empty(turns)), "conv_id", "record").count() == 0
 
 
@@ -119,7 +121,7 @@ def test_pipeline(spark, docs, labels, items, tmp_path):
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     items.write.parquet(f"{tmp_path}/benchmark.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path))
-    assert {r.doc_id for r in out.collect()} <= {None, 5, 9, 10, 11}
+    assert sorted(r.doc_id or 0 for r in out.collect()) == PIPELINE
     current = docs
     for _, stage in corpus_pipeline.STAGES[:-1]:
         current = stage(spark, current, str(tmp_path))

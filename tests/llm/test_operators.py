@@ -1,9 +1,12 @@
 """Operators against brute force, their libraries, exact round trips, or held-out cases."""
 
 import hashlib
+import itertools
 import random
 import re
+import string
 import time
+import tracemalloc
 from collections import Counter, defaultdict
 
 import duckdb
@@ -238,6 +241,21 @@ def test_fingerprints_tell_layouts_not_values():
     assert f({"a": 1, "b": [{"c": 1}]}) == f({"b": [{"c": "x"}, {"c": None}], "a": None}) != f({"a": 1, "b": {"c": 1}})
 
 
+def test_odd_records_are_defined(spark):
+    deep = '{"messages": ' + '{"a": ' * 3000 + "1" + "}" * 3001
+    deeper = '{"messages": ' + "[" * 200_000 + "]" * 200_000 + "}"
+    half = '{"prompt": "a \\ud83d b \\ud83d\\ude00", "completion": "ok"}'
+    long = '{"prompt": "' + "x" * 3_000_000 + '", "completion": "y"}'
+    df = spark.createDataFrame(list(enumerate([deep, deeper, half, long])), "id long, r string")
+    got = {r.id: r for r in chat_format.format_chats(df, "id", "r").collect()}
+    assert [(got[i].layout, got[i].n_turns, got[i].chat) for i in (0, 1)] == [(None, 0, None)] * 2
+    assert got[2].chat.startswith("<|im_start|>user\na \ufffd b 😀<|im_end|>") and got[3].n_turns == 2 and len(got[3].chat) > 3_000_000
+
+
+def test_the_query_meets_every_layout(spark, data):
+    assert {r.layout for r in queries.op3_chat_format(spark, data).collect()} == set(chat_format.LAID_OUT)
+
+
 # --- 4: PII
 
 PII_TEXT = "Mail maria.lopez@mail7.example.com or call +1 (499) 555-6503 or 212-555-0199. IP 49.37.233.206, cards 4207051279108084 and 4111 1111 1111 1111, SSN 123-45-6789, IBAN GB82 WEST 1234 5698 7654 32. Maria Lopez met John Smith-Jones; Lopez left. Мария Иванова и Иван Петров. Иванова ушла."
@@ -417,6 +435,57 @@ def test_named_values_inside_other_values(text, secret):
     assert secret not in secret_scan.redact(text, found)
 
 
+def test_formats_that_the_training_never_saw():
+    """Keys of a cloud vendor, bearer tokens and vendor tokens; commits, checksums and identifiers as look-alikes."""
+    without = ((0, 2, 6), (6, 8, 9))
+    net = secret_scan.Network().train(secret_scan.labelled(4000, without=without))
+    others = tuple(tuple(k for k in range(n) if k not in out) for n, out in zip((13, 12), without))
+    held = secret_scan.labelled(1000, seed=99, without=others)
+    y = np.array([f[3] for f in held])
+    found = net.scores([f[:3] for f in held]) >= net.threshold
+    assert found[y == 1].mean() > 0.7 and found[y == 0].mean() < 0.5
+
+
+def test_long_candidates_in_pieces(monkeypatch):
+    net = secret_scan.network()
+    f = [("token = '", "ab1" * 700, "'"), ("", "k9" * 90, ""), ("x", "", "")]
+    whole = net.raw(secret_scan._rows(f))
+    monkeypatch.setattr(secret_scan, "PLACES", 37)
+    assert np.allclose(net.raw(secret_scan._rows(f)), whole)
+    monkeypatch.undo()
+    tracemalloc.start()
+    text = "-----BEGIN PRIVATE KEY-----\n" + "Ab1/" * 500_000
+    spans = secret_scan.findings([text], net)[0]
+    assert tracemalloc.get_traced_memory()[1] < 400 << 20 and all(b == len(text) for _, b, _ in spans)
+    tracemalloc.stop()
+
+
+def test_findings_one_by_one(spark):
+    """Every candidate judged by itself, in order; runs told by classes of characters instead of a pattern."""
+    net, key = secret_scan.network(), set(string.ascii_letters + string.digits + "+/_-")
+    data = "/root/testdata/sf0.01"
+    want = set()
+    for d, t in texts_of(spark, data).items():
+        places, at = set(), 0
+        for is_key, run in itertools.groupby(t, key.__contains__):
+            n = len(list(run))
+            if is_key:
+                m = n + (t[at + n : at + n + 2] == "==") + (t[at + n : at + n + 1] == "=")
+                x = t[at : at + m]
+                if any(c in string.digits for c in x) and m >= 12 and not x.strip("+/_-=").isdigit() and any(c.isalpha() for c in x):
+                    places.add((at, at + m))
+            at += n
+        assert {p for p in secret_scan._places(t) if secret_scan._RUN.fullmatch(t, *p)} >= places
+        left = secret_scan._places(t)
+        while left:
+            (a, b), *left = left
+            if (score := net.scores([(t[max(0, a - 24) : a], t[a:b], t[b : b + 24])])[0]) >= net.threshold:
+                want.add((d, a, b, round(float(score), 6)))
+                left = [p for p in left if p[0] >= b]
+    got = {(r.doc_id, r.start, r.end, round(r.score, 6)) for r in queries.op6_secret_scan(spark, data).collect()}
+    assert got == want
+
+
 # --- 7: fixity
 
 
