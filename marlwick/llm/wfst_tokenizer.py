@@ -1,11 +1,18 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-The transducer is the composition of three: the normaliser (a leading space, spaces to the meta symbol), the pieces, and byte
-fallback for characters that no piece covers.  Composed with an input, a state of it is (place in the input, last piece).  An
-arc that adds a piece weighs one in the tropical semiring (min, +), or infinity where the two pieces could not stand side by
-side in the output of the vocabulary's merges.  A model of ranked merges admits exactly one path of finite weight, so the
-shortest path is the model's own segmentation; a model of unigram scores has the negated scores as weights and no forbidden
-neighbours.  All finite arcs of ranked merges weigh the same, nothing, so a depth-first search finds the path.  Decoding reads the transducer from its other side.
+The transducer is the composition of three, each compiled once: the normaliser (two states: before the text, where an arc
+without input writes the leading meta symbol, and within it, where spaces become meta symbols), the pieces (a deterministic
+automaton over characters, with a final state for each piece), and byte fallback (an arc for each character that no piece
+covers, writing its bytes).  Composed with an input, lazily, a state of it is (place in the input, last piece), and its arcs
+are the pieces that the automaton accepts from that place.  Weights are in the tropical semiring (min, +).  With the merges of
+a ranked vocabulary an arc weighs nothing, or infinity where the two pieces could not stand side by side after the merges;
+exactly one path of finite weight is left, the model's own segmentation.  With unigram scores the weights are the negated
+scores, and no neighbours are forbidden.
+
+Shortest path: distances are relaxed from the initial state, infinite to finite or to less, and states wait in a queue.  For
+weights of nothing and infinity the queue is last in, first out, with the longest piece last, so it rarely looks at more than
+the path; for scores it is the order of places.  Both are linear in the input.  Decoding reads the transducer from its other
+side.
 
 No piece reaches across the start of a word (a space after something else), so shortest paths are composed of the paths of
 words, which each worker remembers.
@@ -95,29 +102,53 @@ class Vocabulary:
         self.outputs = [bytes([int(p[1:-1], 16)]) if k == BYTE else b"" if k == CONTROL else p.encode() for p, k in zip(self.pieces, self.kinds)]
 
 
+class Pieces:
+    """The automaton of the pieces: a state for every start of a piece, an arc for every character that goes on."""
+
+    def __init__(self, pieces):
+        self.arcs: list[dict[str, int]] = [{}]
+        self.piece: list[str] = [""]
+        for p in pieces:
+            state = 0
+            for c in p:
+                after = self.arcs[state].get(c)
+                if after is None:
+                    after = self.arcs[state][c] = len(self.arcs)
+                    self.arcs.append({})
+                    self.piece.append("")
+                state = after
+            self.piece[state] = p
+
+    def accepted(self, text: str, at: int) -> list[str]:
+        """The pieces that stand in the text at a place, shortest first; if no single character does, the arc of byte fallback."""
+        arcs, piece, out, state = self.arcs, self.piece, [], 0
+        for i in range(at, len(text)):
+            state = arcs[state].get(text[i])
+            if state is None:
+                break
+            if piece[state]:
+                out.append(piece[state])
+        if not out or len(out[0]) > 1:
+            out.insert(0, text[at])
+        return out
+
+
 class Transducer:
     """Encoder and decoder over a vocabulary."""
 
     def __init__(self, path: str = MODEL):
         self.v = Vocabulary(path)
         self.starts = re.compile(f"{SPACE}*[^{SPACE}]*")
+        self.normaliser = str.maketrans({" ": SPACE})
         # rank of the merge that makes a piece; pieces that the merges can't make are in no path
         self.rank = {p: -self.v.scores[i] for p, i in self.v.ids.items() if len(p) > 1}
         self.halves = {} if self.v.unigram else {p: h for p in self.rank if (h := self._last_merge(p))}
         self.beside = Memo(lambda pair: self._stands(*pair), 200_000)
-        self.runs: dict[int, list[int]] = {}
-        # arcs out of a place: the longest piece by its first four characters, and from each piece the next shorter one
-        self.reach: dict[str, int] = {}
-        usable = self.v.ids if self.v.unigram else {p for p in self.v.ids if len(p) == 1 or p in self.halves}
-        self.usable = usable
-        for p in usable:
-            if len(p) > 3:
-                self.reach[p[:4]] = max(len(p), self.reach.get(p[:4], 0))
-        self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in usable), p[:1] if len(p) > 1 else "") for p in usable}
+        self.pieces = Pieces(p for p in self.v.ids if self.v.unigram or len(p) == 1 or p in self.halves)
         self.unknown = min((s for s, k in zip(self.v.scores, self.v.kinds) if k == NORMAL), default=0.0) - 10
         self.inner_breaks = not any("\n" in p for p in self.v.ids)
-        # a word's ids, packed, with and without the space before it
-        self.words, self.bare = Memo(self._word, 400_000), Memo(self._packed, 50_000)
+        # a word's ids, packed, with and without the space before it; a run's ids
+        self.words, self.bare, self.runs = Memo(self._word, 400_000), Memo(self._packed, 50_000), Memo(self._run, 1000)
 
     def _packed(self, text: str) -> bytes:
         return array("i", self.chunk(text)).tobytes()
@@ -132,19 +163,6 @@ class Transducer:
         except KeyError:
             return array("i", [i for s in symbols for i in self._ids(s)]).tobytes()
 
-    def _merged(self, text: str) -> list[str]:
-        """The symbols that the ranked merges leave: best score first, leftmost of equals."""
-        s, ids, scores = list(text), self.v.ids, self.v.scores
-        while True:
-            best, at = None, -1
-            for i in range(len(s) - 1):
-                p = ids.get(s[i] + s[i + 1])
-                if p is not None and (best is None or scores[p] > best):
-                    best, at = scores[p], i
-            if best is None:
-                return s
-            s[at : at + 2] = [s[at] + s[at + 1]]
-
     def _last_merge(self, piece: str) -> tuple[str, str] | None:
         """The two symbols whose merge makes the piece, if the ranked merges make it."""
         s, rank = list(piece), self.rank
@@ -176,43 +194,42 @@ class Transducer:
         return [i] if i is not None else [self.v.byte_ids[b] for b in symbol.encode("utf-8", "replace")]
 
     def _ranked(self, text: str) -> list[str]:
-        """The path of finite weight: depth first, longest arc first, leaving places from which no path went on.
-
-        The arcs of a place are the pieces that start there, and the character that byte fallback takes."""
-        out: list[str] = []
-        n, at, last, dead = len(text), 0, "", set()
-        usable, reach, beside, shorter = self.usable, self.reach, self.beside, self.shorter
-        while at < n:
-            arc = text[at : at + reach.get(text[at : at + 4], 3)]
-            while len(arc) > 1 and arc not in usable:
-                arc = arc[:-1]
-            while True:
-                if arc:
-                    if at + len(arc) not in dead and (not last or beside[last, arc]):
-                        out.append(arc)
-                        at, last = at + len(arc), arc
-                        break
-                    arc = shorter.get(arc, "")
-                else:
-                    if not out:
-                        raise ValueError(f"no path for {text!r}")
-                    dead.add(at)
-                    arc = out.pop()
-                    at, last = at - len(arc), out[-1] if out else ""
-                    arc = shorter.get(arc, "")
-        return out
+        """Shortest path with the weights of ranked merges: zero, or infinity for neighbours that the merges forbid."""
+        accepted, beside, n = self.pieces.accepted, self.beside, len(text)
+        # a state waits as (place, piece that led to it, the state before); the distance of one that was reached is zero
+        waiting: list[tuple] = [(0, "", None)]
+        reached: set[tuple[int, str]] = set()
+        while waiting:
+            state = waiting.pop()
+            at, last, back = state
+            if back is not None and back[1] and not beside[back[1], last]:
+                continue
+            if at == n:
+                break
+            if back is not None and len(waiting) > 1:
+                if (at, last) in reached:
+                    continue
+                reached.add((at, last))
+            for p in accepted(text, at):
+                waiting.append((at + len(p), p, state))
+        else:
+            raise ValueError(f"no path for {text!r}")
+        out = []
+        while state[2] is not None:
+            out.append(state[1])
+            state = state[2]
+        return out[::-1]
 
     def _scored(self, text: str) -> list[str]:
         """Shortest path with the negated unigram scores as weights; of equal paths, the one whose last piece starts first."""
         ids, scores, n = self.v.ids, self.v.scores, len(text)
         cost, back = [0.0] + [float("inf")] * n, [0] * (n + 1)
-        for i in range(1, n + 1):
-            for j in range(max(0, i - self.v.longest), i):
-                p = ids.get(text[j:i])
-                if p is not None or j == i - 1:
-                    c = cost[j] - (scores[p] if p is not None else self.unknown)
-                    if c < cost[i]:
-                        cost[i], back[i] = c, j
+        for j in range(n):
+            for p in self.pieces.accepted(text, j):
+                i = j + len(p)
+                c = cost[j] - (scores[ids[p]] if p in ids else self.unknown)
+                if c < cost[i]:
+                    cost[i], back[i] = c, j
         out = []
         while n:
             out.append(text[back[n] : n])
@@ -220,9 +237,7 @@ class Transducer:
         return out[::-1]
 
     def _run(self, m: int) -> list[int]:
-        if m not in self.runs:
-            self.runs[m] = [i for s in self._merged(SPACE * m) for i in self._ids(s)]
-        return self.runs[m]
+        return [i for s in self._ranked(SPACE * m) for i in self._ids(s)]
 
     def chunk(self, text: str) -> list[int]:
         """Ids of a run of meta symbols and the word that follows it."""
@@ -234,7 +249,7 @@ class Transducer:
         if m > 1:
             # spaces before the last merge among themselves, and with the last if the word left it alone
             alone = symbols[:1] == [SPACE]
-            out += self._run(m if alone else m - 1)
+            out += self.runs[m if alone else m - 1]
             symbols = symbols[alone:]
         try:
             return out + [self.v.ids[s] for s in symbols]
@@ -244,7 +259,7 @@ class Transducer:
     def _line(self, text: str, space: bool) -> list[bytes]:
         parts = text.split(" ")
         if "" in parts or SPACE in text:
-            return [self._packed(x) for x in self.starts.findall(SPACE * space + text.replace(" ", SPACE)) if x]
+            return [self._packed(x) for x in self.starts.findall(SPACE * space + text.translate(self.normaliser)) if x]
         out = list(map(self.words.__getitem__, parts))
         if not space:
             out[0] = self.bare[parts[0]]

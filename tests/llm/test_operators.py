@@ -204,6 +204,16 @@ def test_encoding_and_decoding_of_odd_texts(library, text):
     assert ids == library.encode(text) and t.decode(ids) == library.decode(ids)
 
 
+def test_runs_are_linear_and_the_librarys(library):
+    t = wfst_tokenizer.transducer(wfst_tokenizer.MODEL)
+    for text in [" " * m + x for m in (*range(70), 127, 128, 129, 1000, 4099) for x in ("", "a", "▁b")] + ["x" * 5000, "=" * 3001, "漢" * 999, "\n" * 500, "ab" * 3000 + "😀"]:
+        assert t.encode(text) == library.encode(text)
+    start = time.time()
+    for text in (" " * 100_000 + "end", "x" * 100_000, "xyz" * 33_333):
+        assert t.decode(t.encode(text)) == text
+    assert time.time() - start < 10
+
+
 @settings(max_examples=100, deadline=None)
 @given(ODD)
 def test_unigram_models_take_the_shortest_path(unigram, text):
