@@ -10,6 +10,10 @@ query overlaps it in k places at least if it is similar to a member.  So no pair
 whatever the groups; an order that puts frequent tokens last, and groups of like sets, only make for few openings.  Before
 members are compared, the query is held against the union of their whole sets.
 
+Two sets of a and b tokens need t / (1 + t) * (a + b) common ones, so the first k of them are the sooner in both sets the more
+alike in size they are.  A token at some place of a prefix is of use against partners up to some size only; it goes with that
+size, in classes of an eighth of an octave, and postings that suit no other one are not counted.
+
 Groups: all sets with a prefix token are tied to the least of them; a set joins the one it has the most ties with, if these are
 k at least, and that one's group in turn.  A large group gets a pivot, the member with the most shared tokens.  Jaccard
 distance is a metric, so members within (1 - t) / 2 of the pivot are all similar to one another and need no comparing; only
@@ -29,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, hashed, lean, ngram_hashes, shuffle_width, slices, small_or_shuffled, table, word_hashes, words_of
@@ -66,6 +70,22 @@ def _k(name: str) -> str:
     return f"if({code} < {SHARED}, {code} + 1, shiftleft({SHARED}, {code} - {SHARED - 1}))"
 
 
+def size_class(size: np.ndarray | float) -> np.ndarray:
+    """Eighths of octaves; exact powers of two are the only sizes that come near a border."""
+    return np.floor(8 * np.log2(np.maximum(size, 1)) + 1e-11).astype(np.uint8)
+
+
+def class_gap(t: float) -> int:
+    """How many classes the lesser of two similar sets is below the other at most."""
+    return math.ceil(-8 * math.log2(t) - 1e-11)
+
+
+def partner_class(size: int, k: int, places: int, t: float) -> np.ndarray:
+    """For each place of a prefix the greatest class of a partner that can have one of the first k common tokens there."""
+    most = (1 + t) / t * (size - np.arange(places) + k) - size
+    return size_class(np.minimum(most, size / t) + 1e-6)
+
+
 def overlap_needed(size: int, t: float) -> int:
     """Least overlap of a set of this size with any set at Jaccard index t or more."""
     return max(1, math.ceil(t * size - 1e-9))
@@ -134,9 +154,11 @@ def frequent_tokens(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray, di
     return tokens[order], levels[order], hot
 
 
-#: One row for a shuffle partition, a residue of tokens and a part of the documents: sets, how many keys each has, the keys; and
-#: sets, documents and numbers of tokens.
-PACKED = "pid int, residue int, owners binary, counts binary, keys binary, sets binary, docs binary, sizes binary"
+#: One row for a shuffle partition, a residue of tokens and a part of the documents: sets, how many keys each has, the keys and what
+#: partners they are for (the class of the set, then the greatest of each key); and sets, documents and numbers of tokens.
+PACKED = "pid int, residue int, owners binary, counts binary, keys binary, spans binary, sets binary, docs binary, sizes binary"
+#: Greatest partner class of hot tokens, whose holders are in several tasks and never told to suit no other.
+ANY = 255
 
 
 def _postings(docs: DataFrame, n: int, t: float, frequent: np.ndarray, level: np.ndarray, hot: dict[int, int], width: int) -> DataFrame:
@@ -145,33 +167,35 @@ def _postings(docs: DataFrame, n: int, t: float, frequent: np.ndarray, level: np
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, (late, level, hottest, tasks) = word_hashes(), shared.value
-        tokens, counts, sets, ids, sizes, held = [], [], [], [], [], 0
+        tokens, upto, counts, sets, ids, sizes, held = [], [], [], [], [], [], 0
 
         def flush():
             # A token's residue and 32 other bits tell it from others.  Tokens that coincide bring a hopeless candidate now and then.
             sid, doc, long = np.array(sets, np.int64), np.array(ids, np.int64), np.array(sizes, np.int32)
-            tok, of = np.concatenate(tokens), np.repeat(np.arange(len(sid)), np.array(counts))
+            tok, top, of = np.concatenate(tokens), np.concatenate(upto), np.repeat(np.arange(len(sid)), np.array(counts))
+            own = size_class(long)
             residue = (tok % np.uint64(width)).astype(np.int64)
             pid, key = residue.copy(), (tok >> np.uint64(32)).astype(np.uint32)
             if len(hottest):
                 at = np.minimum(np.searchsorted(hottest, tok), len(hottest) - 1)
                 i = np.flatnonzero(hottest[at] == tok)
+                top[i] = ANY
                 pid[i] = (pid[i] + (sid[of[i]].view(np.uint64) // np.uint64(CODES) % tasks[at[i]]).astype(np.int64)) % width
             order = np.lexsort((of, residue, pid))
-            pid, residue, of, key = pid[order], residue[order], of[order], key[order]
+            pid, residue, of, key, top = pid[order], residue[order], of[order], key[order], top[order]
             apart = np.append(True, (pid[1:] != pid[:-1]) | (residue[1:] != residue[:-1]))
             row = np.flatnonzero(apart)
             cell = np.flatnonzero(apart | np.append(True, of[1:] != of[:-1]))
-            each, owner = np.diff(np.append(cell, len(pid))).astype(np.uint32), sid[of[cell]]
+            each, owner, own = np.diff(np.append(cell, len(pid))).astype(np.uint32), sid[of[cell]], own[of[cell]]
             ends, cells = np.append(row, len(pid)), np.append(np.searchsorted(cell, row), len(cell))
             none = np.zeros(0).tobytes()
-            out = [(int(pid[r]), int(residue[r]), owner[cells[i] : cells[i + 1]].tobytes(), each[cells[i] : cells[i + 1]].tobytes(), key[ends[i] : ends[i + 1]].tobytes(), none, none, none) for i, r in enumerate(row)]
+            out = [(int(pid[r]), int(residue[r]), owner[cells[i] : cells[i + 1]].tobytes(), each[cells[i] : cells[i + 1]].tobytes(), key[ends[i] : ends[i + 1]].tobytes(), own[cells[i] : cells[i + 1]].tobytes() + top[ends[i] : ends[i + 1]].tobytes(), none, none, none) for i, r in enumerate(row)]
             home = (sid.view(np.uint64) // np.uint64(CODES) % np.uint64(width)).astype(np.int64)
             order = np.argsort(home, kind="stable")
             home, sid, doc, long = home[order], sid[order], doc[order], long[order]
             at = np.append(np.flatnonzero(np.append(True, home[1:] != home[:-1])), len(home))
-            out += [(int(home[a]), 0, none, none, none, sid[a:b].tobytes(), doc[a:b].tobytes(), long[a:b].tobytes()) for a, b in zip(at, at[1:])]
-            kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 6]
+            out += [(int(home[a]), 0, none, none, none, none, sid[a:b].tobytes(), doc[a:b].tobytes(), long[a:b].tobytes()) for a, b in zip(at, at[1:])]
+            kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 7]
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)], PACKED.replace(",", "").split()[::2])
 
         for part in slices(batches):
@@ -179,55 +203,74 @@ def _postings(docs: DataFrame, n: int, t: float, frequent: np.ndarray, level: np
                 s = token_set(text, memo, n)
                 if len(s):
                     p = prefix(s, t, late, level)
-                    tokens.append(p), counts.append(len(p)), sets.append(set_id(s, t)), ids.append(doc), sizes.append(len(s))
+                    tokens.append(p), upto.append(partner_class(len(s), shared_needed(len(s), t), len(p), t)), counts.append(len(p)), sets.append(set_id(s, t)), ids.append(doc), sizes.append(len(s))
                     held += len(p)
             if held > 1_500_000:
                 yield flush()
-                tokens, counts, sets, ids, sizes, held = [], [], [], [], [], 0
+                tokens, upto, counts, sets, ids, sizes, held = [], [], [], [], [], [], 0
         if ids:
             yield flush()
 
     return _texts(docs).mapInArrow(emit, PACKED)
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From one shuffle partition: (0, token, set, leader) for each token that several sets have, the leader being the least of
-    them here, and (1, set, document, number of tokens)."""
-    own, tok, sid, doc, long = [], [], [], [], []
-    for b in batches:
-        for residue, owners, counts, keys, sets, ids, sizes in zip(*(b.column(i).to_pylist() for i in range(1, 8))):
-            own.append(np.repeat(np.frombuffer(owners, np.int64), np.frombuffer(counts, np.uint32)))
-            tok.append(np.frombuffer(keys, np.uint32).astype(np.int64) << 31 | residue)
-            sid.append(np.frombuffer(sets, np.int64)), doc.append(np.frombuffer(ids, np.int64)), long.append(np.frombuffer(sizes, np.int32))
-    if not tok:
-        return
-
-    def rows(kind, a, b, c):
-        for at in range(0, len(a), 1_000_000):
-            x = a[at : at + 1_000_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int32)), pa.array(x), pa.array(b[at : at + 1_000_000]), pa.array(c[at : at + 1_000_000].astype(np.int64))], ["kind", "a", "b", "c"])
-
-    yield from rows(1, np.concatenate(sid), np.concatenate(doc), np.concatenate(long))
-    del sid, doc, long
-    tok, own = np.concatenate(tok), np.concatenate(own)
-    order = np.argsort(tok, kind="stable")
-    tok, own = tok[order], own[order]
-    head = np.append(True, tok[1:] != tok[:-1]) if len(tok) else np.zeros(0, bool)
-    first = np.flatnonzero(head)
-    many = np.diff(np.append(first, len(tok))) > 1
-    keep = np.repeat(many, np.diff(np.append(first, len(tok))))
-    tok, own = tok[keep], own[keep]
-    order = np.lexsort((own, tok))
-    tok, own = tok[order], own[order]
-    if len(tok):
-        # each set once for a token: rows may repeat
-        fresh = np.append(True, (tok[1:] != tok[:-1]) | (own[1:] != own[:-1]))
-        tok, own = tok[fresh], own[fresh]
-        head = np.append(True, tok[1:] != tok[:-1])
-        first = np.flatnonzero(head)
+def _suited(tok: np.ndarray, own: np.ndarray, top: np.ndarray, gap: int) -> np.ndarray:
+    """Which postings, sorted by token, have another of their token with a set of a size that they are for."""
+    at = np.cumsum(np.append(0, tok[1:] != tok[:-1])) << 9
+    sizes = np.sort(at + own)
+    least, most = at + np.maximum(own.astype(np.int64) - gap, 0), at + top
+    others = np.searchsorted(sizes, most, "right") - np.searchsorted(sizes, least) - (own <= top)
+    return (others > 0) | (top == ANY)
+
+
+def _sharing(t: float):
+    """The step from PACKED rows to those of _shared."""
+    gap = class_gap(t)
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """From one shuffle partition: (0, token, set, leader, class, top) for each token that several sets have, the leader
+        being the least of them here, and (1, set, document, number of tokens)."""
+        own, tok, span, top, sid, doc, long = [], [], [], [], [], [], []
+        for b in batches:
+            for residue, owners, counts, keys, spans, sets, ids, sizes in zip(*(b.column(i).to_pylist() for i in range(1, 9))):
+                of, each, kinds = np.frombuffer(owners, np.int64), np.frombuffer(counts, np.uint32), np.frombuffer(spans, np.uint8)
+                own.append(np.repeat(of, each)), span.append(np.repeat(kinds[: len(of)], each)), top.append(kinds[len(of) :])
+                tok.append(np.frombuffer(keys, np.uint32).astype(np.int64) << 31 | residue)
+                sid.append(np.frombuffer(sets, np.int64)), doc.append(np.frombuffer(ids, np.int64)), long.append(np.frombuffer(sizes, np.int32))
+        if not tok:
+            return
+
+        def rows(kind, *columns):
+            for at in range(0, len(columns[0]), 1_000_000):
+                part = [x[at : at + 1_000_000] for x in columns]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int16(), pa.int16()]
+                arrays = [pa.array(x.astype(k.to_pandas_dtype()), k) for x, k in zip(part, kinds)]
+                arrays += [pa.nulls(len(part[0]), k) for k in kinds[len(part) :]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), kind, np.int32)), *arrays], ["kind", "a", "b", "c", "class", "top"])
+
+        yield from rows(1, np.concatenate(sid), np.concatenate(doc), np.concatenate(long))
+        del sid, doc, long
+        tok, own, span, top = np.concatenate(tok), np.concatenate(own), np.concatenate(span), np.concatenate(top)
+        order = np.argsort(tok, kind="stable")
+        tok, own, span, top = tok[order], own[order], span[order], top[order]
+        first = np.flatnonzero(np.append(True, tok[1:] != tok[:-1])) if len(tok) else np.zeros(0, np.int64)
         times = np.diff(np.append(first, len(tok)))
-        keep = np.repeat(times > 1, times)
-        yield from rows(0, tok[keep], own[keep], np.repeat(own[first], times)[keep])
+        keep = np.repeat(times > 1, times) | (top == ANY)
+        tok, own, span, top = tok[keep], own[keep], span[keep], top[keep]
+        order = np.lexsort((own, tok))
+        tok, own, span, top = tok[order], own[order], span[order], top[order]
+        if len(tok):
+            # each set once for a token: rows may repeat
+            keep = np.append(True, (tok[1:] != tok[:-1]) | (own[1:] != own[:-1]))
+            tok, own, span, top = tok[keep], own[keep], span[keep], top[keep]
+            for _ in range(2):  # of two that have a token, one may be for the other and not the other way round
+                keep = _suited(tok, span, top, gap) if len(tok) else np.zeros(0, bool)
+                tok, own, span, top = tok[keep], own[keep], span[keep], top[keep]
+        if len(tok):
+            first = np.flatnonzero(np.append(True, tok[1:] != tok[:-1]))
+            yield from rows(0, tok, own, np.repeat(own[first], np.diff(np.append(first, len(tok)))), span, top)
+
+    return shared
 
 
 def _groups(posted: DataFrame) -> DataFrame:
@@ -242,12 +285,18 @@ def _groups(posted: DataFrame) -> DataFrame:
     return cut(groups)
 
 
-def _matrix(posted: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(cells, pivots): (set, g, own) where the overlap of a set with the row of group g, its own or a lesser one, reaches k;
-    and (g, pivot), the member of g that has most of the tokens that are shared within it."""
-    placed = posted.join(groups, "set", "left").select("token", "set", F.coalesce("grp", "set").alias("grp"))
-    row = placed.groupBy("token", F.col("grp").alias("g")).agg(F.count(F.lit(1)).alias("holders"), F.min(F.expr(_k("set"))).alias("k"))
-    hits = placed.join(row, "token").where("g < grp OR g = grp AND holders > 1").groupBy("set", "grp", "g").agg(F.count(F.lit(1)).alias("overlap"), F.min("k").alias("k"), F.sum("holders").alias("popular"))
+def _matrix(posted: DataFrame, groups: DataFrame, t: float) -> tuple[DataFrame, DataFrame]:
+    """(cells, pivots): (set, g, own) where the overlap of a set with the row of group g, its own or a lesser one, reaches k,
+    counting tokens of which a member that suits the set's size may be the holder; and (g, pivot), the member of g that has
+    most of the tokens that are shared within it."""
+    gap = class_gap(t)
+    placed = posted.join(groups, "set", "left").select("token", "set", F.coalesce("grp", "set").alias("grp"), "class", "top").repartition("token")
+    row = placed.groupBy("token", F.col("grp").alias("g")).agg(
+        F.count(F.lit(1)).alias("holders"), F.min(F.expr(_k("set"))).alias("k"), F.min("class").alias("least"), F.max("class").alias("most"), F.max("top").alias("upto")
+    )
+    suits = f"least <= top AND most >= class - {gap} AND class <= upto AND class >= least - {gap}"
+    hits = placed.join(row, "token").where(f"(g < grp OR g = grp AND holders > 1) AND {suits}")
+    hits = hits.groupBy("set", "grp", "g").agg(F.count(F.lit(1)).alias("overlap"), F.min("k").alias("k"), F.sum("holders").alias("popular"))
     cells = cut(hits.where(f"overlap >= least({_k('set')}, k)").select("set", "g", F.expr("g = grp").alias("own"), "popular"))
     pivots = cells.where("own").groupBy("g").agg(F.max(F.struct("popular", "set")).alias("m")).select("g", F.col("m.set").alias("pivot"))
     return cells.drop("popular"), pivots
@@ -322,14 +371,14 @@ def set_links(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tupl
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
     width, (frequent, level, hot) = shuffle_width(docs), frequent_tokens(docs, n)
-    posted = table(_postings(docs, n, threshold, frequent, level, hot, width).repartitionById(width, "pid").mapInArrow(_shared, "kind int, a long, b long, c long"))
+    packed = _postings(docs, n, threshold, frequent, level, hot, width).repartitionById(width, "pid")
+    posted = table(packed.mapInArrow(_sharing(threshold), "kind int, a long, b long, c long, class short, top short"))
     members = posted.where("kind = 1").select(F.col("a").alias("set"), F.col("b").alias("doc_id"), F.col("c").cast("int").alias("size")).distinct()
-    posted = posted.where("kind = 0").select(F.col("a").alias("token"), F.col("b").alias("set"), F.col("c").alias("leader"))
+    posted = posted.where("kind = 0").select(F.col("a").alias("token"), F.col("b").alias("set"), F.col("c").alias("leader"), "class", "top")
     # A partner has t of the size at least, and so this k at least; a set with fewer tokens that any other has, has no partner.
-    hopeful = posted.groupBy("set").agg(F.count(F.lit(1)).alias("held")).where(f"held >= pow(2, floor(log2({threshold} * {_k('set')})))").select("set")
-    posted = posted.join(hopeful, "set", "left_semi")
+    posted = posted.withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("set"))).where(f"held >= pow(2, floor(log2({threshold} * {_k('set')})))").drop("held")
     groups = _groups(posted)
-    cells, pivots = _matrix(posted, groups)
+    cells, pivots = _matrix(posted, groups, threshold)
     sets = members.groupBy("set").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("weight"), F.max("size").alias("size"))
 
     # the members of every group that some query opens: those that joined it, and its name unless that joined another
