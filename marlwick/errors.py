@@ -19,3 +19,7 @@ class SecurityError(EngineError):
 
 class ConstraintError(EngineError):
     """A row breaks NOT NULL, a unique index or a foreign key."""
+
+
+class StoreError(EngineError):
+    """There is no folder for files that all executors can read."""

@@ -103,12 +103,33 @@ def _condition(q: tuple, has) -> str:
     return f"({_condition(q[1], has)} {q[0].upper()} {_condition(q[2], has)})"
 
 
+def _possible(q: tuple, positive: bool = True) -> str | None:
+    """A condition on d, the text in lower case, that every matching text meets; None if there is none.  It spares most texts
+    the tokenizer.  Only terms of ASCII take part, whose lower case doesn't depend on what stands around them."""
+    if q[0] == "term":
+        return f"contains(d, {quoted(q[1])})" if positive and q[1].isascii() else None
+    if q[0] == "not":
+        return _possible(q[1], not positive)
+    both = [x for x in (_possible(q[1], positive), _possible(q[2], positive)) if x]
+    if (q[0] == "and") == positive:
+        return f"({' AND '.join(both)})" if both else None
+    return f"({' OR '.join(both)})" if len(both) == 2 else None
+
+
+def _tokenized(doc: str, possible: str | None, body: str, otherwise: str) -> str:
+    """body over k, the tokens of the text; otherwise for texts that can't match, NULL for a null text."""
+    full = let(tokens(doc), "k", f"CASE WHEN k IS NOT NULL THEN {body} END")
+    if possible is None:
+        return full
+    return f"CASE WHEN {doc} IS NULL THEN NULL WHEN {let(f'lower({doc})', 'd', possible)} THEN {full} ELSE {otherwise} END"
+
+
 def matches(doc: str, is_vector: bool, query: str) -> str:
     """Whether the document matches; NULL for a null document."""
     q = parse_query(query)
     if is_vector:
         return let(doc, "k", f"CASE WHEN k IS NOT NULL THEN {_condition(q, lambda t: f'exists(k, e -> e.term = {quoted(t)})')} END")
-    return let(tokens(doc), "k", f"CASE WHEN k IS NOT NULL THEN {_condition(q, lambda t: f'array_contains(k, {quoted(t)})')} END")
+    return _tokenized(doc, _possible(q), _condition(q, lambda t: f"array_contains(k, {quoted(t)})"), "false")
 
 
 def rank(doc: str, is_vector: bool, query: str) -> str:
@@ -129,7 +150,9 @@ def rank(doc: str, is_vector: bool, query: str) -> str:
 
         has = lambda t: f"array_contains(k, {quoted(t)})"
     total = " + ".join(f"CAST({score(t)} AS BIGINT)" for t in positive_terms(q)) or "0L"
-    return let(doc if is_vector else tokens(doc), "k", f"CASE WHEN k IS NOT NULL AND {_condition(q, has)} THEN {total} END")
+    if is_vector:
+        return let(doc, "k", f"CASE WHEN k IS NOT NULL AND {_condition(q, has)} THEN {total} END")
+    return _tokenized(doc, _possible(q), f"CASE WHEN {_condition(q, has)} THEN {total} END", "CAST(NULL AS BIGINT)")
 
 
 def phrase_terms(phrase: str) -> list[str]:
@@ -144,6 +167,10 @@ def phrase_terms(phrase: str) -> list[str]:
     return out
 
 
+#: Up to this gap the places after a term are listed and met with those of the next, which is linear in the text.
+SMALL_GAP = 16
+
+
 def phrase(doc: str, is_vector: bool, text: str, gap: int) -> str:
     """Whether the terms follow one another, each at most gap places after the last.  The places where a part of the phrase can
     end are carried from term to term."""
@@ -158,8 +185,16 @@ def phrase(doc: str, is_vector: bool, text: str, gap: int) -> str:
     terms = phrase_terms(text)
     ends = places(terms[0])
     for n, t in enumerate(terms[1:]):
-        ends = let(ends, f"f{n}", f"filter({places(t)}, p -> exists(f{n}, q -> p > q AND p <= q + {gap}))")
-    return let(doc if is_vector else tokens(doc), "k", f"CASE WHEN k IS NOT NULL THEN size({ends}) > 0 END")
+        if gap <= SMALL_GAP:
+            ends = f"array_intersect(flatten(transform({ends}, q -> sequence(q + 1, q + {gap}))), {places(t)})"
+        else:
+            ends = let(ends, f"f{n}", f"filter({places(t)}, p -> exists(f{n}, q -> p > q AND p <= q + {gap}))")
+    if is_vector:
+        return let(doc, "k", f"CASE WHEN k IS NOT NULL THEN size({ends}) > 0 END")
+    q = ("term", terms[0])
+    for t in terms[1:]:
+        q = ("and", q, ("term", t))
+    return _tokenized(doc, _possible(q), f"{_condition(q, lambda t: f'array_contains(k, {quoted(t)})')} AND size({ends}) > 0", "false")
 
 
 # --- queries and phrases that are columns

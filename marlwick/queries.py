@@ -6,13 +6,18 @@ Every query runs over whole tables through the dialect's own parser and binder.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .errors import BindError, ConstraintError, SecurityError
 from .functions import fts
 from .session import Session
+from .sources.store import load_parquet
+from .udf import Registry
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
 
@@ -43,10 +48,10 @@ def _fixtures(spark: SparkSession, d: str, wanted: set[str]) -> dict[str, DataFr
     return out
 
 
-def session(spark: SparkSession, d: str, text: str) -> Session:
+def session(spark: SparkSession, d: str, text: str, encryption_key: str | None = None) -> Session:
     """A session that knows the tables that a text speaks of."""
     words = set(text.lower().replace(",", " ").replace("(", " ").replace(".", " ").split())
-    s = Session(spark)
+    s = Session(spark, encryption_key=encryption_key)
     s.register_parquet(d, *(t for t in TABLES if t in words))
     for n, df in _fixtures(spark, d, words).items():
         s.register(n, df)
@@ -137,6 +142,9 @@ _PAIRS: dict[str, tuple[str, str | None]] = {
     "fts_match": ("SELECT doc_id FROM documents WHERE text @@ 'the & (and | !of) & !disgusting'", f"SELECT doc_id FROM {DOC_TOKENS} WHERE list_contains(k, 'the') AND (list_contains(k, 'and') OR NOT list_contains(k, 'of')) AND NOT list_contains(k, 'disgusting')"),
     "fts_rank": ("SELECT doc_id, text_rank(text, 'the & !trash | and') AS r FROM documents", f"SELECT doc_id, CASE WHEN list_contains(k, 'the') AND NOT list_contains(k, 'trash') OR list_contains(k, 'and') THEN (CASE WHEN list_contains(k, 'the') THEN 26 - least(list_position(k, 'the'), 16) + 2 * len(list_filter(k, lambda x: x = 'the')) ELSE 0 END + CASE WHEN list_contains(k, 'and') THEN 26 - least(list_position(k, 'and'), 16) + 2 * len(list_filter(k, lambda x: x = 'and')) ELSE 0 END)::BIGINT END AS r FROM {DOC_TOKENS}"),
     "fts_phrase": ("SELECT doc_id, text_phrase_match(text, 'of the', 1) AS near, text_phrase_match(text, 'of the', 4) AS far FROM documents", f"SELECT doc_id, list_contains(list_transform(range(1, len(k)), lambda i: k[i] = 'of' AND k[i + 1] = 'the'), true) AS near, list_contains(list_transform(range(1, len(k) + 1), lambda i: k[i] = 'of' AND list_contains(k[i + 1 : i + 4], 'the')), true) AS far FROM {DOC_TOKENS}"),
+    "fts_phrase_terms": ("SELECT doc_id FROM documents WHERE text_phrase_match(text, 'Of, THE!', 20)", f"SELECT doc_id FROM {DOC_TOKENS} WHERE list_contains(list_transform(range(1, len(k) + 1), lambda i: k[i] = 'of' AND list_contains(k[i + 1 : i + 20], 'the')), true)"),
+    "fts_optional": ("SELECT doc_id FROM documents WHERE text @@ '(licensed | warranty) & !password'", f"SELECT doc_id FROM {DOC_TOKENS} WHERE (list_contains(k, 'licensed') OR list_contains(k, 'warranty')) AND NOT list_contains(k, 'password')"),
+    "subquery_in_on": ("SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey AND c_acctbal > (SELECT MIN(s_acctbal) FROM supplier )", "SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey AND c_acctbal > (SELECT min(s_acctbal) FROM supplier)"),
     "fts_vector": ("SELECT doc_id, text_rank(tv, 'the | and') AS r, tv @@ '!the' AS absent FROM doc_vector", f"SELECT doc_id, CASE WHEN list_contains(k, 'the') OR list_contains(k, 'and') THEN (CASE WHEN list_contains(k, 'the') THEN 26 - least(list_position(k, 'the'), 16) + 2 * len(list_filter(k, lambda x: x = 'the')) ELSE 0 END + CASE WHEN list_contains(k, 'and') THEN 26 - least(list_position(k, 'and'), 16) + 2 * len(list_filter(k, lambda x: x = 'and')) ELSE 0 END)::BIGINT END AS r, NOT list_contains(k, 'the') AS absent FROM {DOC_TOKENS}"),
 }
 
@@ -182,8 +190,86 @@ def transaction_rollback(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fk_violation_rows(spark: SparkSession, d: str) -> DataFrame:
-    """The rows for which a foreign key would fail, found as the check finds them."""
-    return session(spark, d, "orders customer").sql("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey > 100)")
+    """Rows that a foreign key lets in, after others were refused."""
+    s = session(spark, d, "orders customer")
+    s.execute("CREATE TABLE parents (id INT64 NOT NULL)")
+    s.execute("CREATE UNIQUE INDEX parent ON parents (id)")
+    s.execute("CREATE TABLE children (k INT64, parent INT64 REFERENCES parents (id))")
+    s.insert_rows("parents", s.sql("SELECT c_custkey AS id FROM customer WHERE c_custkey > 100"))
+    s.insert_rows("children", s.sql("SELECT o_orderkey AS k, o_custkey AS parent FROM orders WHERE o_custkey > 100"))
+    _refused(ConstraintError, s.insert_rows, "children", s.sql("SELECT o_orderkey AS k, o_custkey AS parent FROM orders"))
+    _refused(ConstraintError, s.execute, "DELETE FROM parents")
+    return s.sql("SELECT k, parent FROM children")
+
+
+def _refused(kind: type, call: Callable, *args) -> None:
+    try:
+        call(*args)
+    except kind:
+        return
+    raise AssertionError(f"no {kind.__name__}")
+
+
+def unique_violation(spark: SparkSession, d: str) -> DataFrame:
+    s = _copied(spark, d)
+    s.execute("CREATE UNIQUE INDEX by_id ON accounts (id)")
+    _refused(ConstraintError, s.insert_rows, "accounts", s.sql("SELECT c_custkey AS id, c_name AS segment, c_nationkey AS nation FROM customer"))
+    _refused(ConstraintError, s.execute, "UPDATE accounts SET id = 1")
+    s.execute("INSERT INTO accounts (id, segment) VALUES (-1, 'NEW')")
+    return s.sql("SELECT segment, COUNT(*) AS n FROM accounts GROUP BY segment")
+
+
+def policy_on_write(spark: SparkSession, d: str) -> DataFrame:
+    s = _copied(spark, d)
+    for text in ("CREATE ROLE clerk", "GRANT SELECT ON TABLE accounts TO clerk", "GRANT INSERT ON TABLE accounts TO clerk", "CREATE POLICY few ON accounts USING (nation < 5)"):
+        s.execute(text)
+    clerk = s.as_role("clerk")
+    clerk.execute("INSERT INTO accounts (id, segment, nation) VALUES (-1, 'NEW', 4)")
+    _refused(SecurityError, clerk.execute, "INSERT INTO accounts (id, segment, nation) VALUES (-2, 'NEW', 9)")
+    return clerk.sql("SELECT id, segment, nation FROM accounts")
+
+
+def drop_and_create(spark: SparkSession, d: str) -> DataFrame:
+    s = _copied(spark, d)
+    s.execute("DROP TABLE accounts")
+    _refused(BindError, s.sql, "SELECT id FROM accounts")
+    s.execute("CREATE TABLE accounts (name TEXT)")
+    s.insert_rows("accounts", s.sql("SELECT c_name AS name FROM customer"))
+    return s.sql("SELECT name FROM accounts")
+
+
+def overloaded_function(spark: SparkSession, d: str) -> DataFrame:
+    s = session(spark, d, "orders")
+    s.create_function("doubled", ("int64",), "int64", lambda x: x * 2)
+    s.create_function("doubled", ("text",), "text", lambda x: x + x)
+    return s.sql("SELECT o_orderkey, doubled(o_custkey) AS n, doubled(o_orderstatus) AS t FROM orders")
+
+
+def _width(v: pd.Series) -> int:
+    return int(v.max() - v.min())
+
+
+def _long_names(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        yield pd.DataFrame({"k": f["c_custkey"], "size": f["c_name"].str.len() + f["c_mktsegment"].str.len()})
+
+
+def aggregate_udf(spark: SparkSession, d: str) -> DataFrame:
+    r, kinds = Registry(), ("int64",)
+    r.define("width", "aggregate", kinds, "int64", _width)
+    return load_parquet(spark, d, "orders").groupBy("o_orderpriority").agg(r.column("width", kinds, "o_custkey").alias("width"))
+
+
+def window_udf(spark: SparkSession, d: str) -> DataFrame:
+    r, kinds = Registry(), ("int64",)
+    r.define("width", "window", kinds, "int64", _width)
+    return load_parquet(spark, d, "orders").select("o_orderkey", r.column("width", kinds, "o_orderkey").over(Window.partitionBy("o_custkey")).alias("width"))
+
+
+def table_udf(spark: SparkSession, d: str) -> DataFrame:
+    r, kinds = Registry(), ("int64", "text", "text")
+    r.define("sizes", "table", kinds, (("k", "int64"), ("size", "int64")), _long_names)
+    return r.table("sizes", kinds, load_parquet(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment"))
 
 
 def scalar_udf(spark: SparkSession, d: str) -> DataFrame:
@@ -214,7 +300,7 @@ def add_column(spark: SparkSession, d: str) -> DataFrame:
 
 
 def encrypted_column(spark: SparkSession, d: str) -> DataFrame:
-    s = session(spark, d, "customer")
+    s = session(spark, d, "customer", encryption_key=uuid.uuid4().hex)
     s.execute("CREATE TABLE vault (id INT64, name TEXT ENCRYPTED, balance FLOAT64 ENCRYPTED)")
     s.insert_rows("vault", s.sql("SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance FROM customer"))
     return s.sql("SELECT id, name, balance FROM vault WHERE balance > 5000.0")
@@ -270,7 +356,7 @@ _INDEXED: dict[str, tuple[str, str, str]] = {
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: _query(text) for n, (text, _) in _PAIRS.items()}
 QUERIES |= {n: _indexed("", index, text) for n, (index, text, _) in _INDEXED.items()}
-QUERIES |= {f.__name__: f for f in (row_policy_filter, generated_column, dml_update_delete, transaction_rollback, fk_violation_rows, scalar_udf, custom_operator, insert_values, add_column, encrypted_column, trigger_after_update, procedure_call, checkpoint_restore)}
+QUERIES |= {f.__name__: f for f in (row_policy_filter, generated_column, dml_update_delete, transaction_rollback, fk_violation_rows, unique_violation, policy_on_write, drop_and_create, overloaded_function, aggregate_udf, window_udf, table_udf, scalar_udf, custom_operator, insert_values, add_column, encrypted_column, trigger_after_update, procedure_call, checkpoint_restore)}
 
 ORACLE: dict[str, str] = {n: sql or text for n, (text, sql) in _PAIRS.items()}
 ORACLE |= {n: sql for n, (_, _, sql) in _INDEXED.items()}
@@ -285,7 +371,14 @@ ORACLE |= {
     "generated_column": "SELECT id, nation, 2 * nation AS twice FROM (SELECT c_custkey AS id, c_nationkey::BIGINT + CASE WHEN c_mktsegment = 'BUILDING' THEN 100 ELSE 0 END AS nation FROM customer)",
     "dml_update_delete": "SELECT c_custkey AS id, c_mktsegment || CASE WHEN c_nationkey BETWEEN 10 AND 12 THEN '!' ELSE '' END AS segment, c_nationkey::BIGINT AS nation, 2 * c_nationkey::BIGINT AS twice FROM customer WHERE c_nationkey >= 3 UNION ALL SELECT -1, 'NEW', NULL, NULL",
     "transaction_rollback": "SELECT c_mktsegment AS segment, count(*) AS n FROM customer GROUP BY 1",
-    "fk_violation_rows": "SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey > 100)",
+    "fk_violation_rows": "SELECT o_orderkey AS k, o_custkey AS parent FROM orders WHERE o_custkey > 100",
+    "unique_violation": "SELECT c_mktsegment AS segment, count(*) AS n FROM customer GROUP BY 1 UNION ALL SELECT 'NEW', 1",
+    "policy_on_write": "SELECT c_custkey AS id, c_mktsegment AS segment, c_nationkey::BIGINT AS nation FROM customer WHERE c_nationkey < 5 UNION ALL SELECT -1, 'NEW', 4",
+    "drop_and_create": "SELECT c_name AS name FROM customer",
+    "overloaded_function": "SELECT o_orderkey, 2 * o_custkey AS n, o_orderstatus || o_orderstatus AS t FROM orders",
+    "aggregate_udf": "SELECT o_orderpriority, max(o_custkey) - min(o_custkey) AS width FROM orders GROUP BY 1",
+    "window_udf": "SELECT o_orderkey, max(o_orderkey) OVER w - min(o_orderkey) OVER w AS width FROM orders WINDOW w AS (PARTITION BY o_custkey)",
+    "table_udf": "SELECT c_custkey AS k, (length(c_name) + length(c_mktsegment))::BIGINT AS size FROM customer",
     "scalar_udf": "SELECT o_orderkey, 2 * o_custkey + 1 AS t FROM orders WHERE 2 * o_orderkey + 1 > 1000",
     "custom_operator": "SELECT o_orderkey, abs(o_orderkey - o_custkey) AS away FROM orders",
 }

@@ -19,7 +19,7 @@ from .functions.text import name, quoted
 from .operators.ranking import sort_key, with_rank
 from .operators.relational import Lowered, Relational
 from .plans.parser import ColumnDef, Query, Recursive, Select, parse
-from .sources.store import Store, load_parquet
+from .sources.store import Store, is_local, load_parquet
 from .types import name_of, sql_type, widened
 
 RECURSION_LIMIT = 999
@@ -69,18 +69,21 @@ class Pending:
         return self.outcome
 
 
+KEY_PROPERTY = "marlwick.encryption.key"
+
+
 class Session(Relational):
     """Runs the dialect over tables.  strict=True also refuses what the dialect's original restrictions refuse."""
 
     #: Input of a ranking window over which one task ranks all rows.
     one_task_bytes = 256 << 20
 
-    def __init__(self, spark: SparkSession, role: str = SUPERUSER, strict: bool = False, folder: str | None = None, catalog: Catalog | None = None, encryption_key: str = "0123456789abcdef"):
+    def __init__(self, spark: SparkSession, role: str = SUPERUSER, strict: bool = False, folder: str | None = None, catalog: Catalog | None = None, encryption_key: str | None = None):
         super().__init__()
         self.spark, self.role, self.strict = spark, role, strict
         self.catalog, self.store = catalog or Catalog(), Store(spark, folder)
         self.saved: Catalog | None = None
-        self.encryption_key = encryption_key
+        self.key_property = self._hidden(encryption_key)
         self.views: dict[int, tuple[str, object]] = {}
         self.running: list = []
         self.cte = None
@@ -95,9 +98,28 @@ class Session(Relational):
         """A session of another role over the same catalog."""
         if role not in self.catalog.roles:
             raise BindError(f"no role {role}")
-        out = Session(self.spark, role, self.strict, self.store.folder, self.catalog, self.encryption_key)
+        out = Session(self.spark, role, self.strict, self.store.folder, self.catalog)
+        out.key_property = self.key_property
         return out
 
+    def _hidden(self, key: str | None) -> str:
+        """The name of the JVM property that holds the key of encrypted columns.  Plans, logs and EXPLAIN show that name only.
+
+        A key of 16, 24 or 32 bytes may be given where all runs in one JVM.  On a cluster every JVM gets the property
+        KEY_PROPERTY by spark.driver.extraJavaOptions and spark.executor.extraJavaOptions.  There is no default key."""
+        if key is None:
+            return KEY_PROPERTY
+        if not is_local(self.spark.sparkContext.master):
+            raise SecurityError(f"on a cluster the key comes by the JVM property {KEY_PROPERTY}")
+        held = f"{KEY_PROPERTY}.{uuid.uuid4().hex}"
+        self.spark._jvm.System.setProperty(held, key)
+        return held
+
+    def _key(self) -> str:
+        if self.spark._jvm.System.getProperty(self.key_property) is None:
+            raise SecurityError("there is no key for encrypted columns")
+        return f"java_method('java.lang.System', 'getProperty', {quoted(self.key_property)})"
+
     # --- tables
 
     def register(self, table: str, frame: DataFrame, owner: str | None = None) -> None:
@@ -140,7 +162,7 @@ class Session(Relational):
             return f"SELECT * FROM {self.view(t)}"
         if self.role not in self.catalog.superusers | self.catalog.decryptors:
             raise SecurityError(f"{self.role} has no right to decrypt")
-        key = quoted(self.encryption_key)
+        key = self._key()
         cols = [f"CAST(CAST(aes_decrypt({name(c.name)}, {key}, 'GCM') AS STRING) AS {sql_type(c.type)}) AS {name(c.name)}" if c.encrypted else name(c.name) for c in t.columns]
         return f"SELECT {', '.join(cols)} FROM {self.view(t)}"
 
@@ -509,7 +531,7 @@ class Session(Relational):
 
     def _stored(self, t: Table, rows: DataFrame) -> str:
         """Writes full rows, in plain values, as the table keeps them."""
-        cols = [f"aes_encrypt(CAST({name(c.name)} AS STRING), {quoted(self.encryption_key)}, 'GCM') AS {name(c.name)}" if c.encrypted else f"CAST({name(c.name)} AS {sql_type(c.type)}) AS {name(c.name)}" for c in t.columns]
+        cols = [f"aes_encrypt(CAST({name(c.name)} AS STRING), {self._key()}, 'GCM') AS {name(c.name)}" if c.encrypted else f"CAST({name(c.name)} AS {sql_type(c.type)}) AS {name(c.name)}" for c in t.columns]
         return self.store.write(rows.selectExpr(*cols))
 
     def _generated(self, t: Table, table: str, rows: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ..catalog import Catalog, Index, Table
+from ..errors import StoreError
 from ..plans.parser import ColumnDef
 from ..types import from_name, name_of, sql_type
 
@@ -27,11 +28,18 @@ def spark_schema(columns: list[ColumnDef]) -> T.StructType:
     return T.StructType([T.StructField(c.name, T.BinaryType() if c.encrypted else T.StructType.fromDDL(f"x {sql_type(c.type)}")["x"].dataType, True) for c in columns])
 
 
+def is_local(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; only where none is named, as in tests, a local one."""
+    """The folder that the cluster names in spark.checkpoint.dir; a local one only where none is named and all runs on this
+    machine, as in tests.  Elsewhere executors could not read what others wrote, so that is an error."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if sc.getCheckpointDir() is None:
+        if not named and not is_local(sc.master):
+            raise StoreError("spark.checkpoint.dir names no folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="marlwick-"))
     return named or str(sc.getCheckpointDir())
 
@@ -61,7 +69,8 @@ class Store:
         return hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), hadoop
 
     def checkpoint(self, catalog: Catalog, folder: str) -> None:
-        """Writes all tables and the catalog; the catalog's file comes last, by a rename, and a checkpoint without it is none."""
+        """Writes all tables and the catalog.  The catalog's file comes last, by a rename over the one before, so that there is a
+        whole image at any time; a checkpoint without that file is none."""
         version = uuid.uuid4().hex
         tables = {}
         for key, t in catalog.tables.items():
@@ -83,8 +92,10 @@ class Store:
         out.write(bytearray(json.dumps(image).encode()))
         out.close()
         _, final = self._file(f"{folder}/catalog.json")
-        fs.delete(final, False)
-        fs.rename(path, final)
+        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
+        over = gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+        over[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), fs.getConf()).rename(fs.makeQualified(path), fs.makeQualified(final), over)
 
     def restore(self, folder: str) -> Catalog:
         fs, path = self._file(f"{folder}/catalog.json")

@@ -2,13 +2,14 @@
 
 import pytest
 
-from marlwick.errors import BindError, ConstraintError, SecurityError
+from marlwick.errors import BindError, ConstraintError, SecurityError, StoreError
 from marlwick.session import Session
+from marlwick.sources.store import shared_folder
 
 
 @pytest.fixture
 def s(spark, tmp_path):
-    s = Session(spark, folder=str(tmp_path / "tables"))
+    s = Session(spark, folder=str(tmp_path / "tables"), encryption_key="0123456789abcdef")
     for text in (
         "CREATE TABLE accounts (id INT64 NOT NULL, owner TEXT, balance INT64, twice INT64 GENERATED ALWAYS AS (balance + balance) STORED)",
         "CREATE UNIQUE INDEX by_id ON accounts (id)",
@@ -139,6 +140,40 @@ def test_encryption(s, spark):
     s.execute("ALTER TABLE secrets ALTER COLUMN pin DROP ENCRYPTED")
 
 
+def test_the_key_is_in_no_plan(s, spark):
+    s.execute("CREATE TABLE secrets (id INT64, pin TEXT ENCRYPTED)")
+    s.execute("INSERT INTO secrets (id, pin) VALUES (1, '1234')")
+    df = s.sql("SELECT pin FROM secrets")
+    assert "0123456789abcdef" not in df._jdf.queryExecution().toString()
+    assert "0123456789abcdef" not in s.execute("EXPLAIN SELECT pin FROM secrets").text
+    with pytest.raises(SecurityError):
+        Session(spark, catalog=s.catalog).sql("SELECT pin FROM secrets")
+
+
+def test_checkpoints_replace_one_another(s, tmp_path):
+    folder = str(tmp_path / "image")
+    s.checkpoint(folder)
+    s.execute("DELETE FROM transfers")
+    s.checkpoint(folder)
+    s.execute("INSERT INTO transfers (id, account_id, amount) VALUES (7, 2, 1)")
+    s.restore(folder)
+    assert rows(s, "SELECT * FROM transfers") == []
+    assert [p.name for p in (tmp_path / "image").glob("catalog*")] == ["catalog.json"]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://host:7077"
+        getConf = lambda self: {}
+        getCheckpointDir = lambda self: None
+
+    class Spark:
+        sparkContext, conf = Context(), {}
+
+    with pytest.raises(StoreError):
+        shared_folder(Spark())
+
+
 def test_transactions(s):
     s.execute("BEGIN")
     with pytest.raises(BindError):
