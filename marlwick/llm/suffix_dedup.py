@@ -37,6 +37,8 @@ MIN_WORDS = 50
 EXACT, BLOOM = 4_000_000, 64 << 20
 #: Documents of a gram, beyond which its suffixes aren't sorted in one task.
 HOT = 100_000
+#: Words whose suffixes a task sorts at once, those of a gram together.
+SORTED = 1 << 18
 
 
 class Grams:
@@ -170,8 +172,9 @@ def repeated(words: np.ndarray, at: np.ndarray, room: np.ndarray, doc: np.ndarra
     together = group[a] == group[b]
     length = np.where(together, np.minimum(room[a], room[b]), 0)
     length[together] = s.common(at[a[together]], at[b[together]], length[together], 0)
+    # no more than the first size words of neighbours decide
     long = length >= size
-    length[long] = s.verified(at[a[long]], at[b[long]], length[long])
+    length[long] = s.verified(at[a[long]], at[b[long]], np.full(long.sum(), size))
     # the order is cut wherever neighbours have fewer than size words in common
     part = np.append(0, np.cumsum(length < size))
     starts = runs(part)
@@ -299,6 +302,19 @@ def repeated_passages(docs: DataFrame, size: int = MIN_WORDS) -> DataFrame:
         if not len(d):
             return
         s, n = s.astype(np.int64), n.astype(np.int64)
+        base = np.append(0, np.cumsum(n + size - 1)[:-1])
+        # groups of one gram are sorted a number at a time, so that only those take memory
+        order = np.argsort(g, kind="stable")
+        ends = np.append(runs(g[order])[1:], len(order))
+        block = np.cumsum(n[order] + size - 1)[ends - 1] // SORTED
+        begin = 0
+        for stop in ends[np.append(block[1:] != block[:-1], True)].tolist():
+            i, begin = order[begin:stop], stop
+            long = n[i] + size - 1
+            step = np.arange(long.sum()) - np.repeat(np.append(0, np.cumsum(long)[:-1]), long)
+            yield from passages(d[i], s[i], n[i], g[i], w[np.repeat(base[i], long) + step])
+
+    def passages(d: np.ndarray, s: np.ndarray, n: np.ndarray, g: np.ndarray, w: np.ndarray) -> Iterator[pa.RecordBatch]:
         base = np.append(0, np.cumsum(n + size - 1)[:-1])
         seg = np.repeat(np.arange(len(d)), n)
         inside = np.arange(n.sum()) - np.repeat(np.append(0, np.cumsum(n)[:-1]), n)
