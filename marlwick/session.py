@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from .catalog import SUPERUSER, Catalog, Function, Index, Table
 from .errors import BindError, ConstraintError, SecurityError
@@ -19,7 +20,7 @@ from .functions.text import name, quoted
 from .operators.ranking import sort_key, with_rank
 from .operators.relational import Lowered, Relational
 from .plans.parser import ColumnDef, Query, Recursive, Select, parse
-from .sources.store import Store, is_local, load_parquet
+from .sources.store import Store, load_parquet
 from .types import name_of, sql_type, widened
 
 RECURSION_LIMIT = 999
@@ -83,7 +84,7 @@ class Session(Relational):
         self.spark, self.role, self.strict = spark, role, strict
         self.catalog, self.store = catalog or Catalog(), Store(spark, folder)
         self.saved: Catalog | None = None
-        self.key_property = self._hidden(encryption_key)
+        self.key_view = self._hidden(encryption_key)
         self.views: dict[int, tuple[str, object]] = {}
         self.running: list = []
         self.cte = None
@@ -99,26 +100,32 @@ class Session(Relational):
         if role not in self.catalog.roles:
             raise BindError(f"no role {role}")
         out = Session(self.spark, role, self.strict, self.store.folder, self.catalog)
-        out.key_property = self.key_property
+        out.key_view = self.key_view
         return out
 
-    def _hidden(self, key: str | None) -> str:
-        """The name of the JVM property that holds the key of encrypted columns.  Plans, logs and EXPLAIN show that name only.
+    def _hidden(self, key: str | None) -> str | None:
+        """A view whose only row is the key of encrypted columns, of 16, 24 or 32 bytes.  Plans, logs and EXPLAIN show its name only.
 
-        A key of 16, 24 or 32 bytes may be given where all runs in one JVM.  On a cluster every JVM gets the property
-        KEY_PROPERTY by spark.driver.extraJavaOptions and spark.executor.extraJavaOptions.  There is no default key."""
+        Statements read it by a scalar subquery, whose value Spark hands to the tasks, so executors need nothing before.  The row
+        is an RDD's: the optimizer would evaluate rows that it holds itself.  Without a key every JVM gets the property KEY_PROPERTY
+        by spark.driver.extraJavaOptions and spark.executor.extraJavaOptions.  There is no default key."""
         if key is None:
-            return KEY_PROPERTY
-        if not is_local(self.spark.sparkContext.master):
-            raise SecurityError(f"on a cluster the key comes by the JVM property {KEY_PROPERTY}")
-        held = f"{KEY_PROPERTY}.{uuid.uuid4().hex}"
-        self.spark._jvm.System.setProperty(held, key)
-        return held
+            return None
+        sc, jvm, js = self.spark.sparkContext, self.spark._jvm, self.spark._jsparkSession
+        values, held = sc._gateway.new_array(jvm.java.lang.Object, 1), jvm.java.util.ArrayList()
+        values[0] = key
+        held.add(jvm.org.apache.spark.sql.RowFactory.create(values))
+        kind = js.parseDataType(T.StructType([T.StructField("k", T.StringType(), False)]).json())
+        label = f"mw_key_{uuid.uuid4().hex}"
+        DataFrame(js.createDataFrame(sc._jsc.parallelize(held, 1), kind), self.spark).createOrReplaceTempView(label)
+        return label
 
     def _key(self) -> str:
-        if self.spark._jvm.System.getProperty(self.key_property) is None:
+        if self.key_view is not None:
+            return f"(SELECT k FROM {self.key_view})"
+        if self.spark._jvm.System.getProperty(KEY_PROPERTY) is None:
             raise SecurityError("there is no key for encrypted columns")
-        return f"java_method('java.lang.System', 'getProperty', {quoted(self.key_property)})"
+        return f"java_method('java.lang.System', 'getProperty', {quoted(KEY_PROPERTY)})"
 
     # --- tables
 
