@@ -57,6 +57,45 @@ def test_ranks_by_partition_are_those_of_one_task(spark, data, text):
     assert sorted(map(tuple, s.sql(text).collect())) == want
 
 
+def test_ties_do_not_gather_in_one_task(spark, monkeypatch):
+    """Partitions are about as large as one another whatever the keys, also where rows are equal as a whole."""
+    from marlwick.operators.ranking import with_rank
+
+    sizes, kind = [], type(spark.range(1))
+    real = kind.checkpoint
+
+    def seen(df, eager=True):
+        out = real(df, eager)
+        sizes.append(max(r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()))
+        return out
+
+    monkeypatch.setattr(kind, "checkpoint", seen)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(0, 40_000, numPartitions=4).select((F.col("id") % 2).alias("k"), F.when(F.col("id") % 3 > 0, F.lit("x")).alias("t"))
+        got = {f: with_rank(df, "n", f, [("t", True, False)]).groupBy("t").agg(F.min("n"), F.max("n"), F.count_distinct("n")).collect() for f in ("row_number", "rank", "dense_rank")}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {f: sorted(map(tuple, r), key=str) for f, r in got.items()} == {
+        "row_number": [("x", 1, 26_666, 26_666), (None, 26_667, 40_000, 13_334)],
+        "rank": [("x", 1, 1, 1), (None, 26_667, 26_667, 1)],
+        "dense_rank": [("x", 1, 1, 1), (None, 2, 2, 1)],
+    }
+    assert max(sizes) <= 10_000  # the frame itself has four partitions of 10,000
+
+
+def test_ranks_of_many_keys(spark, monkeypatch):
+    from marlwick.operators import ranking
+
+    monkeypatch.setattr(ranking, "FEW_KEYS", 10)
+    df = spark.range(3_000).select("id", F.when(F.col("id") % 7 > 0, F.col("id") % 40).alias("a"), F.when(F.col("id") % 5 > 0, F.col("id") % 3 - 0.5).alias("b"))
+    df.createOrReplaceTempView("many_keys")
+    for f in ("rank", "dense_rank"):
+        want = spark.sql(f"SELECT *, CAST({f}() OVER (ORDER BY a DESC NULLS LAST, b NULLS FIRST) AS BIGINT) AS n FROM many_keys")
+        got = ranking.with_rank(df, "n", f, [("a", True, False), ("b", False, True)])
+        assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 def test_command_line(spark):
     out = []
     s = Session(spark)
