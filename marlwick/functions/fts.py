@@ -8,9 +8,11 @@ parsed by row, in Arrow batches.
 from __future__ import annotations
 
 import re
+from array import array
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from ..errors import BindError
 from .text import let, quoted
@@ -246,22 +248,51 @@ def text_vector(text: str | None, stop_words: frozenset[str] = frozenset(), stem
     """Terms with their positions; stop words are left out but keep their places, and a stemmer maps tokens to terms."""
     if text is None:
         return None
-    places: dict[str, list[int]] = {}
-    for i, t in enumerate(_tokens(text), 1):
+    return [{"term": t, "positions": p.tolist(), "weight": "D"} for t, p in _places(text, stop_words, stem)]
+
+
+def _places(text: str, stop_words: frozenset[str] = frozenset(), stem=None) -> list[tuple[str, array]]:
+    """The terms in order, each with its positions."""
+    places: dict[str, array] = {}
+    for i, m in enumerate(_RUNS.finditer(text), 1):
+        t = m[0].lower()
         if t not in stop_words:
-            places.setdefault(stem(t) if stem else t, []).append(i)
-    return [{"term": t, "positions": p, "weight": "D"} for t, p in sorted(places.items())]
+            t = stem(t) if stem else t
+            held = places.get(t)
+            if held is None:
+                held = places[t] = array("i")
+            held.append(i)
+    return sorted(places.items())
+
+
+def text_vectors(texts: pa.Array) -> pa.Array:
+    """The vectors of a batch of texts.  They go into Arrow's own buffers text by text, so that beside these no more than one
+    text's terms are held as Python objects."""
+    chars, chars_to, places, places_to, terms_to, known = bytearray(), array("i", [0]), array("i"), array("i", [0]), array("i", [0]), bytearray()
+    for x in texts:
+        text = x.as_py()
+        known.append(text is not None)
+        for t, p in _places(text or ""):
+            chars += t.encode()
+            chars_to.append(len(chars))
+            places.extend(p)
+            places_to.append(len(places))
+        terms_to.append(len(chars_to) - 1)
+    held = lambda a: pa.py_buffer(a) if len(a) else pa.py_buffer(b"")
+    ints = lambda a: pa.Array.from_buffers(pa.int32(), len(a), [None, held(a)])
+    n = len(chars_to) - 1
+    terms = pa.Array.from_buffers(pa.string(), n, [None, held(chars_to), held(chars)])
+    positions = pa.ListArray.from_arrays(ints(places_to), ints(places))
+    entries = pa.StructArray.from_arrays([terms, positions, pa.repeat("D", n)], ["term", "positions", "weight"])
+    null = pa.Array.from_buffers(pa.uint8(), len(known), [None, held(known)]).cast(pa.bool_())
+    return pa.ListArray.from_arrays(ints(terms_to), entries, mask=pc.invert(null))
 
 
 def register(spark) -> None:
     """The functions that work by row: text vectors, and queries that are columns."""
     from pyspark.sql.functions import arrow_udf, pandas_udf
 
-    def vectors(text: pa.Array) -> pa.Array:
-        kind = pa.list_(pa.struct([("term", pa.string()), ("positions", pa.list_(pa.int32())), ("weight", pa.string())]))
-        return pa.array([text_vector(x) for x in text.to_pylist()], kind)
-
-    spark.udf.register("mw_text_vector", arrow_udf(vectors, "array<struct<term: string, positions: array<int>, weight: string>>"))
+    spark.udf.register("mw_text_vector", arrow_udf(text_vectors, "array<struct<term: string, positions: array<int>, weight: string>>"))
 
     def each(f, *columns):
         return pd.Series([f(*(None if x is pd.NA or x is None or x != x else x for x in row)) for row in zip(*columns)], dtype=object)

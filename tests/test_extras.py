@@ -141,6 +141,36 @@ def test_text_vectors(spark):
     assert fts.positive_terms(fts.parse_query("a & !(b | !c) | a")) == ["a", "c"]
 
 
+def test_vectors_of_a_batch_take_little_memory(spark):
+    """Large batches are made in Arrow's buffers; as Python objects they took over 50 times the text."""
+    import random
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from marlwick.functions import fts
+
+    odd = [None, "", "  ", "The cat, the DOG", "É é ß İ 1२ a_b 日本", "x" * 5000, None]
+    kind = pa.list_(pa.struct([("term", pa.string()), ("positions", pa.list_(pa.int32())), ("weight", pa.string())]))
+    for texts in (odd, odd[2:5], [], [None], [""]):
+        got = fts.text_vectors(pa.array(texts, pa.string()))
+        got.validate(full=True)
+        assert got.type == kind and got.to_pylist() == [text_vector(x) for x in texts]
+    assert fts.text_vectors(pa.array(odd, pa.string())[3:5]).to_pylist() == [text_vector(x) for x in odd[3:5]]
+    r = random.Random(1)
+    words = [f"{r.randrange(1 << 20):x}" for _ in range(3000)]
+    batch = pa.array([" ".join(r.choices(words, k=150)) for _ in range(2000)])
+    register = {}
+    fts.register(type("Spark", (), {"udf": type("Udf", (), {"register": staticmethod(lambda n, f: register.setdefault(n, f))})})())
+    tracemalloc.start()
+    try:
+        register["mw_text_vector"].func(batch)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 8 * batch.nbytes
+
+
 def test_stream(spark, data, tmp_path):
     table = spark.read.parquet(f"{data}/events.parquet")
     table.repartition(3).write.parquet(f"{tmp_path}/in")
