@@ -84,6 +84,19 @@ def test_ties_do_not_gather_in_one_task(spark, monkeypatch):
     assert max(sizes) <= 10_000  # the frame itself has four partitions of 10,000
 
 
+def test_one_task_ranks_a_small_input_only(spark, tmp_path):
+    spark.range(400_000).select("id", F.rand(3).alias("v")).write.parquet(f"{tmp_path}/t.parquet")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = Session(spark).register_parquet(str(tmp_path), "t").sql("SELECT id, v, ROW_NUMBER() OVER (ORDER BY v DESC, id) AS n FROM t")
+        held = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(held) == 400_000 and max(held) < 200_000
+    df.createOrReplaceTempView("ranked_rows")
+    assert spark.sql("SELECT count(*) FROM ranked_rows a JOIN ranked_rows b ON b.n = a.n + 1 WHERE a.v > b.v OR a.v = b.v AND a.id < b.id").collect()[0][0] == 399_999
+
+
 def test_ranks_of_many_keys(spark, monkeypatch):
     from marlwick.operators import ranking
 
