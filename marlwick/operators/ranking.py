@@ -16,12 +16,14 @@ from pyspark.sql import functions as F
 
 from ..sources.store import shared_folder
 
-#: Input, as Spark estimates it, that one task sorts.  Files hold ten or more rows in the bytes of one sorted row.
-TASK_BYTES = 2 << 20
+#: Rows that one task sorts, in bytes of sorted_bytes.
+TASK_BYTES = 16 << 20
 #: Keys up to which their ranks are broadcast; those of more are joined by sorting.
 FEW_KEYS = 100_000
 #: Plans of these alone give the same rows in the same order each time.
 _PLAIN = {"Project", "Filter", "LogicalRelation"}
+#: Types without a fixed width.
+_LONG = ("string", "varchar", "char", "binary", "array", "map", "struct")
 
 
 def sort_key(column: str, desc: bool, nulls_first: bool) -> Column:
@@ -35,6 +37,15 @@ def input_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+def sorted_bytes(df: DataFrame) -> int:
+    """Bytes that df's rows take in a sort, by their number and the length of their texts: the size of files bounds neither, since
+    encodings may leave a byte for hundreds of rows.  Where all columns have a fixed width, Parquet's footers tell the number."""
+    long = [F.coalesce(F.octet_length(c if kind == "binary" else F.col(c).cast("string")), F.lit(0)).cast("long") for c, kind in df.dtypes if kind.startswith(_LONG)]
+    rows, text = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(reduce(Column.__add__, long, F.lit(0))), F.lit(0))).collect()[0]
+    # eight bytes a column, and as much for null bits, length, pointer and prefix
+    return rows * 8 * (len(df.columns) + 4) + text
+
+
 def _plain(df: DataFrame) -> bool:
     plan = df._jdf.queryExecution().optimizedPlan()
     below = [plan]
@@ -49,11 +60,11 @@ def _plain(df: DataFrame) -> bool:
 def _numbered(df: DataFrame, out: str, keys: list[tuple[str, bool, bool]], unique: bool = False) -> DataFrame:
     """df with a column of row numbers in the order of keys.  Rows that tie keep their order; a df without ties need not have one."""
     order = [sort_key(*k) for k in keys]
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    needed = -(-input_bytes(df) // TASK_BYTES) if _plain(df) else 0
+    needed = -(-sorted_bytes(df) // TASK_BYTES)
     if not unique:
         df, order = df.withColumn("u_", F.monotonically_increasing_id()), [*order, F.col("u_")]
-    placed = df.repartitionByRange(needed, *order) if needed > parts else df.repartitionByRange(*order)
+    # partitions of a given number are not put together again by adaptive execution
+    placed = df.repartitionByRange(max(needed, df.sparkSession.sparkContext.defaultParallelism), *order)
     # the partitions are fixed before they are counted: bounds are sampled anew by every plan
     placed = placed.sortWithinPartitions(*order).drop("u_").withColumn("m_", F.monotonically_increasing_id()).checkpoint(eager=True)
     # the id has the partition above 33 bits and the place below
@@ -73,7 +84,7 @@ def with_rank(df: DataFrame, out: str, function: str, keys: list[tuple[str, bool
     columns = list(dict.fromkeys(k[0] for k in keys))
     values = df.select(*columns)
     if function == "dense_rank":
-        ranks = _numbered(values.distinct(), out, keys, unique=True)
+        ranks = _numbered(values.distinct().checkpoint(eager=True), out, keys, unique=True)
     else:
         ranks = _numbered(values, out, keys).groupBy(*columns).agg(F.min(out).alias(out)).checkpoint(eager=True)
     if ranks.count() <= FEW_KEYS:

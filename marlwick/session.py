@@ -17,7 +17,7 @@ from .errors import BindError, ConstraintError, SecurityError
 from .functions import casts, fts
 from .functions.scalars import Col, Scope
 from .functions.text import name, quoted
-from .operators.ranking import TASK_BYTES, input_bytes, sort_key, with_rank
+from .operators.ranking import TASK_BYTES, input_bytes, sort_key, sorted_bytes, with_rank
 from .operators.relational import Lowered, Relational
 from .plans.parser import ColumnDef, Query, Recursive, Select, parse
 from .sources.store import Store, load_parquet
@@ -76,7 +76,7 @@ KEY_PROPERTY = "marlwick.encryption.key"
 class Session(Relational):
     """Runs the dialect over tables.  strict=True also refuses what the dialect's original restrictions refuse."""
 
-    #: Input of a ranking window over which one task ranks all rows.
+    #: Rows of a ranking window, in bytes of a sort, up to which one task ranks them all.
     one_task_bytes = TASK_BYTES
 
     def __init__(self, spark: SparkSession, role: str = SUPERUSER, strict: bool = False, folder: str | None = None, catalog: Catalog | None = None, encryption_key: str | None = None):
@@ -242,8 +242,9 @@ class Session(Relational):
         names = [n for n, _, _ in q.cols]
         if q.ranked:
             base = self.spark.sql(q.ranked.base)
-            # a window over the whole table is one task; beyond a size the ranks are made partition by partition
-            if input_bytes(base) > self.one_task_bytes:
+            # a window over the whole table is one task; beyond a size the ranks are made partition by partition.  The estimate
+            # only spares the count of what is large
+            if input_bytes(base) > self.one_task_bytes or sorted_bytes(base) > self.one_task_bytes:
                 return self._ranked(q, base).toDF(*names)
         return self.spark.sql(q.sql).toDF(*names)
 

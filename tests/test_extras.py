@@ -97,6 +97,50 @@ def test_one_task_ranks_a_small_input_only(spark, tmp_path):
     assert spark.sql("SELECT count(*) FROM ranked_rows a JOIN ranked_rows b ON b.n = a.n + 1 WHERE a.v > b.v OR a.v = b.v AND a.id < b.id").collect()[0][0] == 399_999
 
 
+def test_rows_decide_what_one_task_ranks(spark, tmp_path):
+    """A million rows in a few KB of file: its size, as an estimate of the rows, left them all to one task."""
+    spark.range(0, 1_000_000, numPartitions=1).select(F.expr("id div 1000 AS k"), F.expr("id div 250000 AS v")).write.option("parquet.enable.dictionary", "true").parquet(f"{tmp_path}/t.parquet")
+    assert sum(p.stat().st_size for p in (tmp_path / "t.parquet").iterdir()) < 1 << 20
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = Session(spark).register_parquet(str(tmp_path), "t").sql("SELECT k, ROW_NUMBER() OVER (ORDER BY v DESC, k) AS n FROM t").cache()
+        held = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+        got = df.groupBy("k").agg(F.min("n"), F.max("n"), F.count_distinct("n")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        df.unpersist()
+    assert sum(held) == 1_000_000 and max(held) < 600_000
+    first = lambda k: (3 - k // 250) * 250_000 + k % 250 * 1000
+    assert sorted(map(tuple, got)) == [(k, first(k) + 1, first(k) + 1000, 1000) for k in range(1000)]
+
+
+@pytest.mark.parametrize("function", ["row_number", "rank", "dense_rank"])
+def test_partitions_grow_with_the_rows(spark, monkeypatch, function):
+    """Also those of rows that come from other than a plain scan, and of long texts."""
+    from marlwick.operators import ranking
+
+    sizes, kind = [], type(spark.range(1))
+    real = kind.checkpoint
+    monkeypatch.setattr(ranking, "TASK_BYTES", 64 << 10)
+    monkeypatch.setattr(ranking, "FEW_KEYS", 10)
+    for df in (spark.range(40_000), spark.range(8_000).select("id", F.repeat(F.lit("x"), 300).alias("t"))):
+        n = df.count()
+        monkeypatch.setattr(kind, "checkpoint", lambda df, eager=True: sizes.append((out := real(df, eager)).rdd.getNumPartitions()) or out)
+        got = ranking.with_rank(df, "n", function, [("id", True, False)])
+        assert got.where(F.col("n") + F.col("id") == n).count() == got.count() == n
+        if function == "row_number" or df.columns == ["id"]:  # ranks are made of the keys alone
+            assert max(sizes) >= 8 * n * (len(df.columns) + 4) // (64 << 10)
+        sizes.clear()
+
+
+def test_sorted_bytes_counts_rows_and_texts(spark):
+    from marlwick.operators.ranking import sorted_bytes
+
+    df = spark.createDataFrame([("ab", 1, [1, 22], b"xyz"), (None, None, None, None)], "s string, n int, a array<int>, b binary")
+    assert sorted_bytes(df.select("n")) == 2 * 40 and sorted_bytes(df) == 2 * 64 + 2 + len("[1, 22]") + 3
+    assert sorted_bytes(df.where("n > 5")) == sorted_bytes(df.select("s").where("n > 5")) == 0
+
+
 def test_ranks_of_many_keys(spark, monkeypatch):
     from marlwick.operators import ranking
 
