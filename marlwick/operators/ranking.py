@@ -57,16 +57,20 @@ def _plain(df: DataFrame) -> bool:
     return True
 
 
-def _numbered(df: DataFrame, out: str, keys: list[tuple[str, bool, bool]], unique: bool = False) -> DataFrame:
-    """df with a column of row numbers in the order of keys.  Rows that tie keep their order; a df without ties need not have one."""
-    order = [sort_key(*k) for k in keys]
+def sorted_by_range(df: DataFrame, order: list[Column], unique: bool = False) -> DataFrame:
+    """df in order, in partitions of about TASK_BYTES.  Rows that tie are spread by their place; a df without ties needs no place."""
     needed = -(-sorted_bytes(df) // TASK_BYTES)
     if not unique:
         df, order = df.withColumn("u_", F.monotonically_increasing_id()), [*order, F.col("u_")]
     # partitions of a given number are not put together again by adaptive execution
-    placed = df.repartitionByRange(max(needed, df.sparkSession.sparkContext.defaultParallelism), *order)
+    return df.repartitionByRange(max(needed, df.sparkSession.sparkContext.defaultParallelism), *order).sortWithinPartitions(*order).drop("u_")
+
+
+def _numbered(df: DataFrame, out: str, keys: list[tuple[str, bool, bool]], unique: bool = False) -> DataFrame:
+    """df with a column of row numbers in the order of keys.  Rows that tie keep their order; a df without ties need not have one."""
+    order = [sort_key(*k) for k in keys]
     # the partitions are fixed before they are counted: bounds are sampled anew by every plan
-    placed = placed.sortWithinPartitions(*order).drop("u_").withColumn("m_", F.monotonically_increasing_id()).checkpoint(eager=True)
+    placed = sorted_by_range(df, order, unique).withColumn("m_", F.monotonically_increasing_id()).checkpoint(eager=True)
     # the id has the partition above 33 bits and the place below
     placed = placed.select("*", F.shiftright("m_", 33).alias("p_"), F.col("m_").bitwiseAND((1 << 33) - 1).alias("at_")).drop("m_")
     before = Window.orderBy("p_").rowsBetween(Window.unboundedPreceding, -1)

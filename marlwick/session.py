@@ -17,7 +17,7 @@ from .errors import BindError, ConstraintError, SecurityError
 from .functions import casts, fts
 from .functions.scalars import Col, Scope
 from .functions.text import name, quoted
-from .operators.ranking import TASK_BYTES, input_bytes, sort_key, sorted_bytes, with_rank
+from .operators.ranking import TASK_BYTES, input_bytes, sort_key, sorted_by_range, sorted_bytes, with_rank
 from .operators.relational import Lowered, Relational
 from .plans.parser import ColumnDef, Query, Recursive, Select, parse
 from .sources.store import Store, load_parquet
@@ -252,8 +252,11 @@ class Session(Relational):
         r = q.ranked
         for i, function, keys in r.windows:
             df = with_rank(df, f"c{i}", function, keys, r.keys if function == "row_number" else [])
-        if r.keys:
-            df = df.orderBy(*(sort_key(*k) for k in r.keys))
+        order = [sort_key(*k) for k in r.keys]
+        if order and (r.offset or r.limit is not None):
+            df = df.orderBy(*order)
+        elif order:
+            df = sorted_by_range(df, order)
         if r.offset:
             df = df.offset(r.offset)
         if r.limit is not None:

@@ -133,6 +133,20 @@ def test_partitions_grow_with_the_rows(spark, monkeypatch, function):
         sizes.clear()
 
 
+def test_order_of_ranked_rows_is_made_in_small_partitions(spark, monkeypatch):
+    from marlwick.operators import ranking
+
+    monkeypatch.setattr(ranking, "TASK_BYTES", 64 << 10)
+    s = Session(spark)
+    s.register("many_rows", spark.range(40_000).select("id", (F.col("id") % 3).alias("k")))
+    s.one_task_bytes = -1
+    df = s.sql("SELECT id, k, ROW_NUMBER() OVER (ORDER BY id DESC) AS n FROM many_rows ORDER BY k DESC")
+    parts = df.rdd.glom().map(len).collect()
+    assert len(parts) > 24 and max(parts) < 8_000  # a key alone has 13,333
+    rows = df.collect()
+    assert [r["k"] for r in rows] == [2] * 13_333 + [1] * 13_333 + [0] * 13_334 and {(r["id"], r["n"]) for r in rows} == {(i, 40_000 - i) for i in range(40_000)}
+
+
 def test_sorted_bytes_counts_rows_and_texts(spark):
     from marlwick.operators.ranking import sorted_bytes
 
